@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .store import read
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_bin import token_files
+
+    return token_files(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    found, c = contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *(f"{c}.{x}" for x in ("n_words", "n_hit", "n_items", "items_sha256")), (F.col(c).n_hit > 0).alias("contaminated"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, RULES, findings
+
+    found = findings(read(spark, sf_dir, "documents"))
+    base = [r[0] for r in RULES[:BASE]]
+
+    def text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("path").alias("doc_id"), *(count(k) for k in base), F.sha2(text(F.filter("spans", lambda s: s.kind.isin(base))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
