@@ -15,6 +15,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+
+    docs = read(spark, sf_dir, "documents")
+    found, c = identify(docs.select("doc_id", "text"), fit(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), f"{c}.lang_pred", f"{c}.score", f"{c}.rejected")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .toxicity import assess, fit
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, c = assess(docs, fit(docs, read(spark, sf_dir, "labels"), ~held_out(mod=4, left=2)))
+    return found.select("doc_id", held_out(mod=4, left=2).alias("held_out"), f"{c}.score", (F.col(c).score >= 0.3).cast("int").alias("predicted"), f"{c}.evidence")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
