@@ -94,6 +94,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *(count(k) for k in base), F.sha2(text(F.filter("spans", lambda s: s.kind.isin(base))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_lattice import decode, encode
+
+    path = vocabulary("piece_bpe_32k.model")
+    ids, c = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back, d = decode(ids, path, c)
+    return back.select("doc_id", F.size(c).cast("long").alias("n_ids"), F.col(c).alias("ids"), F.sha2(d, 256).alias("decoded_sha256"), (F.col(d) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
