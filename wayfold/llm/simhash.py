@@ -162,11 +162,12 @@ def _refine(rows: DataFrame, chosen: list[tuple[list[int], int]], radius: int, c
     return cool
 
 
-def near_links(nodes: DataFrame, radius: int = 3, cap: int = GROUP_CAP) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 3, cap: int = GROUP_CAP, pairs_up_to: int = 1) -> DataFrame:
     """(a, b): links within the radius that join just those distinct fingerprints that all links would join.
 
     Each group of equal keys is compared whole in its task, and only links between members that
-    are not yet connected there are kept: at most one for each member, also in a dense group.
+    are not yet connected there are kept: at most one for each member, also in a dense group. With
+    pairs_up_to, members that connect with no more than so many there keep all links among them.
     """
     n = nodes.count()
     chosen = plan(bit_counts(nodes), n, radius)
@@ -178,6 +179,7 @@ def near_links(nodes: DataFrame, radius: int = 3, cap: int = GROUP_CAP) -> DataF
             across = t.column("ba").to_numpy() != t.column("bb").to_numpy()
             bits = fp.view(np.uint64)
             parent = np.arange(len(fp))
+            met: list[tuple[np.ndarray, np.ndarray]] = []
             i, step = np.arange(len(fp)), 1
             while i.size:
                 i = i[i < len(fp) - step]
@@ -186,9 +188,17 @@ def near_links(nodes: DataFrame, radius: int = 3, cap: int = GROUP_CAP) -> DataF
                 near = (np.bitwise_count(bits[i] ^ bits[j]) <= radius) & ~(probe[i] & probe[j]) & (~across[i] | (own[i] != own[j]))
                 if near.any():
                     parent = unite(parent, i[near], j[near])
+                    if pairs_up_to > 1:
+                        met.append((i[near], j[near]))
                 step += 1
             linked = np.flatnonzero(parent != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[parent[linked]])], names=["a", "b"])
+            a, b = [fp[linked]], [fp[parent[linked]]]
+            few = np.bincount(parent, minlength=len(fp)) <= pairs_up_to
+            for x, y in met:
+                own = few[parent[x]]
+                a.append(fp[x[own]])
+                b.append(fp[y[own]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return together(rows, ["part", "sub", "key"]).mapInArrow(run, "a long, b long")
 
@@ -208,3 +218,52 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, cap: int =
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))
     to = materialise(of.join(low, "root").select("fp", "component_id"), "components")
     return prints.join(to, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids to drop up to this number are broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles): the different XXH64 of each text's word shingles, for docs of (doc_id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(ws[i : i + words]), SEED) for i in range(max(1, len(ws) - words + 1) if ws else 0)], dtype=np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 11, cap: int = GROUP_CAP) -> DataFrame:
+    """The rows of docs less near-duplicates: of each group of alike texts the one with the least doc_id stays.
+
+    Fingerprints of 3-word shingles within the wide radius are candidates. A candidate pair is a
+    link if its texts' `words`-word shingle sets have a Jaccard similarity of at least `similarity`;
+    equal fingerprints are links. (Within a key of the index, members that connect with over 32
+    others keep a spanning forest of candidates instead of all pairs.) Rows of a null id
+    all stay; of rows that repeat an id, one stays.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    prints = materialise(fingerprints(rows), "simhash")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    pairs = materialise(near_links(nodes, radius, cap, pairs_up_to=32).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.where("least is not null"), "fp"), "ends")
+    wanted = ends.select(F.col("least").alias("doc_id"))
+    texts = rows.join(F.broadcast(wanted) if ends.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+    sets = materialise(shingle_sets(texts, words).dropDuplicates(["doc_id"]).join(ends, F.col("doc_id") == F.col("least")).select("fp", "shingles"), "shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    roots = connected_components(links)
+    of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    to = materialise(of.join(of.groupBy("root").agg(F.min("least").alias("kept")), "root").select("fp", "kept"), "kept")
+    gone = materialise(prints.join(to, "fp").where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if prints.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1):
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
