@@ -266,7 +266,7 @@ def activation_quantile(spark, sf):
 
 
 def sql_adjacent() -> str:
-    return "SELECT a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS "by", a.v AS va, b.v AS vb, sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) AS dist FROM cells a, (VALUES (1, -1), (1, 0), (1, 1), (0, 1)) o(dx, dy), cells b WHERE b.cx = a.cx + dx AND b.cy = a.cy + dy"
+    return 'SELECT a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS "by", a.v AS va, b.v AS vb, sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) AS dist FROM cells a, (VALUES (1, -1), (1, 0), (1, 1), (0, 1)) o(dx, dy), cells b WHERE b.cx = a.cx + dx AND b.cy = a.cy + dy'
 
 
 @query(with_views("SELECT * REPLACE (round(dist, 6) AS dist) FROM e", "cells", e=sql_adjacent()))
