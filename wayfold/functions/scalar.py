@@ -43,7 +43,7 @@ def road_score(veg: Column, width: Column, conductivity: Column, shoulders: Colu
     """100 times the mean of four activations, to 1 decimal."""
     s = p.state
     parts = [activation_linear(veg, *s.percentage_veg, rising=False), activation_linear(width, *s.drivable_width), activation_linear(conductivity, *s.conductivity), activation_linear(shoulders, *s.shoulder)]
-    return F.round(100 * reduce(lambda a, b: a + b, parts) / 4, 1)
+    return F.round(F.round(100 * reduce(lambda a, b: a + b, parts) / 4, 9), 1)
 
 
 def angle_gap(a: Column, b: Column) -> Column:

@@ -181,8 +181,9 @@ def road_metrics(slices: DataFrame, strict: bool = False) -> DataFrame:
         return F.when(F.count(c) == F.count("*"), F.avg(c)) if strict else F.avg(c)
 
     return slices.groupBy("road_id").agg(
-        F.round(mean("road_width"), 1).alias("ROADWIDTH"),
-        F.round(mean("drivable_width"), 1).alias("DRIVABLEWIDTH"),
-        F.round(mean("pzabove05"), 1).alias("PERCABOVEROAD"),
-        F.round(mean("shoulders") / 2 * 100, 1).alias("SHOULDERS"),
+        # to 9 decimals first, lest the order of summing turns a tie
+        F.round(F.round(mean("road_width"), 9), 1).alias("ROADWIDTH"),
+        F.round(F.round(mean("drivable_width"), 9), 1).alias("DRIVABLEWIDTH"),
+        F.round(F.round(mean("pzabove05"), 9), 1).alias("PERCABOVEROAD"),
+        F.round(F.round(mean("shoulders") / 2 * 100, 9), 1).alias("SHOULDERS"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import raster_queries  # noqa: F401
+from . import line_queries, profile_queries, raster_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
