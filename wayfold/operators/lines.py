@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wayfold.functions.scalar import turn
 
-ALONG = Window.partitionBy("line_id").orderBy("seq")
+
+
+def along(order: str = "seq") -> WindowSpec:
+    return Window.partitionBy("line_id").orderBy(order)
 
 
 def measured(v: DataFrame) -> DataFrame:
     """Vertices plus seg (length from the one before) and m (length from the start)."""
-    seg = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(ALONG), F.col("y") - F.lag("y").over(ALONG)), F.lit(0.0))
-    return v.withColumn("seg", seg).withColumn("m", F.sum("seg").over(ALONG.rowsBetween(Window.unboundedPreceding, 0)))
+    seg = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(along()), F.col("y") - F.lag("y").over(along())), F.lit(0.0))
+    return v.withColumn("seg", seg).withColumn("m", F.sum("seg").over(along().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def segments(v: DataFrame) -> DataFrame:
     """(line_id, seq, x1, y1, x2, y2, m1, m2, len): each pair of following vertices."""
     m = measured(v)
-    cols = {"x2": F.lead("x").over(ALONG), "y2": F.lead("y").over(ALONG), "m2": F.lead("m").over(ALONG), "len": F.sum("seg").over(Window.partitionBy("line_id"))}
+    cols = {"x2": F.lead("x").over(along()), "y2": F.lead("y").over(along()), "m2": F.lead("m").over(along()), "len": F.sum("seg").over(Window.partitionBy("line_id"))}
     return m.withColumns(cols).where("x2 is not null").select("line_id", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", F.col("m").alias("m1"), "m2", "len")
 
 
@@ -48,7 +51,7 @@ def sinuosity(v: DataFrame) -> DataFrame:
 def headings(v: DataFrame) -> DataFrame:
     """(line_id, head, tail): degrees outward at the first and the last vertex."""
     back = Window.partitionBy("line_id").orderBy(F.desc("seq"))
-    two = v.withColumns({"a": F.row_number().over(ALONG), "b": F.row_number().over(back)}).where("a <= 2 or b <= 2")
+    two = v.withColumns({"a": F.row_number().over(along()), "b": F.row_number().over(back)}).where("a <= 2 or b <= 2")
 
     def at(side: str, k: int, c: str) -> Column:
         return F.max(F.when(F.col(side) == k, F.col(c)))
@@ -61,7 +64,7 @@ def headings(v: DataFrame) -> DataFrame:
 
 def turning_angles(v: DataFrame) -> DataFrame:
     """(line_id, seq, angle) at inner vertices: by how many degrees the line turns there."""
-    w = {f"{k}{c}": f(c).over(ALONG) for k, f in (("p", F.lag), ("n", F.lead)) for c in ("x", "y")}
+    w = {f"{k}{c}": f(c).over(along()) for k, f in (("p", F.lag), ("n", F.lead)) for c in ("x", "y")}
     inner = v.withColumns(w).where("px is not null and nx is not null")
     return inner.select("line_id", "seq", turn(F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("nx") - F.col("x"), F.col("ny") - F.col("y")).alias("angle"))
 
@@ -135,7 +138,7 @@ def split_at(v: DataFrame, at: DataFrame) -> DataFrame:
 
 def without_repeats(v: DataFrame) -> DataFrame:
     """Lines less vertices equal to the one before."""
-    same = (F.col("x") == F.lag("x").over(ALONG)) & (F.col("y") == F.lag("y").over(ALONG))
+    same = (F.col("x") == F.lag("x").over(along())) & (F.col("y") == F.lag("y").over(along()))
     return v.withColumn("same", F.coalesce(same, F.lit(False))).where("not same").drop("same")
 
 
