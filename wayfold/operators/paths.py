@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import hypot
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +90,9 @@ def least_cost_paths(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, r
                 own = pdf[(pdf.cap == side) & (pdf.sigma > 0)]
                 own = pdf[pdf.sigma > 0] if own.empty else own
                 tx, ty = (own.cx.mean(), own.cy.mean()) if len(own) < len(pdf) else (x / res, y / res)
-                k = min(range(len(own)), key=lambda i: (hypot(own.cx.iloc[i] - tx, own.cy.iloc[i] - ty), own.cx.iloc[i], own.cy.iloc[i]))
-                return int(own.cx.iloc[k]), int(own.cy.iloc[k])
+                gx, gy = own.cx.to_numpy(), own.cy.to_numpy()
+                k = np.lexsort((gy, gx, np.hypot(gx - tx, gy - ty)))[0]
+                return int(gx[k]), int(gy[k])
 
             first = pdf.iloc[0]
             cost, path = least_cost(grid, start("A", first.ax, first.ay), start("B", first.bx, first.by), res)

@@ -26,24 +26,31 @@ def default_rows(roads: DataFrame, none: Column) -> DataFrame:
     return roads.select(*kept, *(F.when(none, F.lit(b)).otherwise(F.lit(a)).cast("int" if c == "CLASS" else "double").alias(c) for c, (a, b) in DEFAULT_ROWS.items()))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint: each step here is read by several later ones."""
+    from wayfold.sources.tables import cut as write
+
+    return write(df)
+
+
 def slices_of(v: DataFrame, length: float) -> DataFrame:
-    """(line_id, slice_id, cx, cy, angle, height): rectangles along each line between following cuts; slice_id numbers all lines' slices."""
+    """(line_id, slice_id, distance, ox, oy, dir, span): rectangles along each line between following cuts; slice_id numbers all lines' slices."""
     p = locate(v, equal_cuts(v, length)).withColumn("seq", F.col("k"))
     w = {f"n{c}": F.lead(c).over(along()) for c in ("x", "y")}
     s = p.withColumns(w).where("nx is not null")
     dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
-    return s.select("line_id", (F.col("line_id") * 1_000_000 + F.col("k")).alias("slice_id"), F.col("m").alias("distance"), ((F.col("x") + F.col("nx")) / 2).alias("ox"), ((F.col("y") + F.col("ny")) / 2).alias("oy"), slice_angle(dx, dy).alias("angle"), F.hypot(dx, dy).alias("height"))
+    return s.select("line_id", (F.col("line_id") * 1_000_000 + F.col("k")).alias("slice_id"), F.col("m").alias("distance"), ((F.col("x") + F.col("nx")) / 2).alias("ox"), ((F.col("y") + F.col("ny")) / 2).alias("oy"), slice_angle(dx, dy).alias("dir"), F.hypot(dx, dy).alias("span"))
 
 
 def points_of_slices(points: DataFrame, slices: DataFrame, width: float, step: float) -> DataFrame:
     """Points in each slice's rectangle: slice_id, pos (across) and xr, its bin. Slices go to every bucket that their circle touches."""
     size = width
-    r = F.hypot(F.col("height"), F.lit(float(width))) / 2
+    r = F.hypot(F.col("span"), F.lit(float(width))) / 2
     s = slices.withColumn("gx", F.explode(F.sequence(bucket(F.col("ox") - r, size), bucket(F.col("ox") + r, size)))).withColumn("gy", F.explode(F.sequence(bucket(F.col("oy") - r, size), bucket(F.col("oy") + r, size))))
     p = points.withColumns({"gx": bucket(F.col("x"), size), "gy": bucket(F.col("y"), size)}).join(s, ["gx", "gy"])
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    p = p.withColumns({"along": dx * F.cos("angle") + dy * F.sin("angle"), "pos": dy * F.cos("angle") - dx * F.sin("angle")})
-    return p.where((F.abs("along") <= F.col("height") / 2) & (F.abs("pos") <= width / 2)).withColumn("xr", F.round(F.col("pos") / step) * step).drop("gx", "gy")
+    p = p.withColumns({"along": dx * F.cos("dir") + dy * F.sin("dir"), "pos": dy * F.cos("dir") - dx * F.sin("dir")})
+    return p.where((F.abs("along") <= F.col("span") / 2) & (F.abs("pos") <= width / 2)).withColumn("xr", F.round(F.col("pos") / step) * step).drop("gx", "gy")
 
 
 def slice_metrics(points: DataFrame, slices: DataFrame, p: Parameters = DEFAULTS) -> DataFrame:
@@ -52,10 +59,10 @@ def slice_metrics(points: DataFrame, slices: DataFrame, p: Parameters = DEFAULTS
     points has zn, the height over the terrain. A slice whose edges contradict one another is left out.
     """
     e = p.extraction
-    raw = points_of_slices(points, slices, e.road_max_width, e.profile_resolution)
-    veg = Q.vegetation_profile(raw.withColumn("z", F.col("zn")))
-    ground = Q.slope_of(Q.ground_profile(raw))
-    centre = Q.centreline_shift(veg)
+    raw = cut(points_of_slices(points, slices, e.road_max_width, e.profile_resolution).select("slice_id", "pos", "xr", "z", "zn", "cls", "intensity"))
+    veg = cut(Q.vegetation_profile(raw.withColumn("z", F.col("zn"))))
+    ground = cut(Q.slope_of(Q.ground_profile(raw)))
+    centre = cut(Q.centreline_shift(veg))
     sh = Q.shoulders(ground, centre, p.min_slope)
     side = sh.groupBy("slice_id").agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("left", "right") for c in ("start", "embankment")))
     rescue = Q.road_edges(ground, centre, p.max_sd_ground, p.max_elevation_ground).withColumnsRenamed({"left": "rl", "right": "rr"})
@@ -64,7 +71,7 @@ def slice_metrics(points: DataFrame, slices: DataFrame, p: Parameters = DEFAULTS
     edges = edges.where("left <= right")
     drive = Q.drivable_edges(veg, edges, centre, p.max_percentage_drivable).select("slice_id", F.round("width", 1).alias("drivable_width"))
     share = Q.slice_percentages(raw.withColumn("z", F.col("zn")), edges).select("slice_id", F.col("p05").alias("pzabove05"))
-    x, y = unrotate(F.lit(0.0), F.col("xc"), F.col("ox"), F.col("oy"), F.col("angle"))
+    x, y = unrotate(F.lit(0.0), F.col("xc"), F.col("ox"), F.col("oy"), F.col("dir"))
     return slices.join(edges, "slice_id").join(drive, "slice_id").join(share, "slice_id").select("line_id", "slice_id", "distance", (F.col("right") - F.col("left")).alias("road_width"), "drivable_width", "pzabove05", "shoulders", x.alias("x"), y.alias("y"))
 
 
@@ -92,7 +99,7 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     high = normalize_height(points, dtm)
     if p.confidence < 1:
         sigma = conductivity_v1(points, dtm, p) if sigma is None else sigma
-        path = least_cost_paths(sigma, work, p)
+        path = cut(least_cost_paths(sigma, work, p))
         errors = path.where("error is not null").select(owner.alias("line_id"), "error")
         cond = path.where("error is null").groupBy("line_id").agg(F.max("conductivity").alias("conductivity"), F.count("x").alias("n"))
         route = simplified(path.where("x is not null and error is null").select("line_id", "seq", "x", "y"), 3)
@@ -102,8 +109,9 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
         errors = work.select(owner.alias("line_id"), F.lit(None).cast("string").alias("error")).limit(0)
         cond = work.select("line_id").distinct().withColumn("conductivity", F.lit(1.0))
         route = work
-    slices = slices_of(route, e.section_length)
-    metrics = slice_metrics(high, slices, p)
+    route = cut(route)
+    slices = cut(slices_of(route, e.section_length))
+    metrics = cut(slice_metrics(high, slices, p))
     line = metrics.withColumn("seq", F.row_number().over(along("distance")))
     enough = metrics.groupBy("line_id").count().where("count > 4").select("line_id")
     new = simplified(smoothed(line.join(enough, "line_id", "left_semi").select("line_id", "seq", "x", "y")), 1) if p.confidence < 1 else route
@@ -113,6 +121,7 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     m = m.withColumn("SCORE", road_score(*(F.col(c) for c in ("PERCABOVEROAD", "DRIVABLEWIDTH", "CONDUCTIVITY", "SHOULDERS")), p)).withColumn("CLASS", road_class(F.col("SCORE")))
     lost = cond.where("conductivity = 0").select(owner.alias("line_id")).distinct()
     rest = size.select("line_id").join(m.select("line_id"), "line_id", "left_anti").join(lost.withColumn("none", F.lit(True)), "line_id", "left")
+    m = cut(m)
     roads = m.unionByName(default_rows(rest, F.coalesce("none", F.lit(False))).drop("none"))
     good = roads.where(F.col("CLASS").between(1, keep_class)).select("line_id")
     moved = new.withColumn("piece", -F.col("line_id")).withColumn("line_id", owner).join(good, "line_id", "left_semi")

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import snap_nodes
 from .network import best_connexion
+from .roads import cut
 
 
 def labelled(edges: DataFrame) -> DataFrame:
     """(line_id, component) for lines linked by (line_id, node): the least line of each component, by passing least labels on until none changes."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
-    now = edges.select("line_id", "node", F.col("line_id").alias("c")).checkpoint()
+    now = cut(edges.select("line_id", "node", F.col("line_id").alias("c")))
     while True:
         by_node = now.groupBy("node").agg(F.min("c").alias("n"))
         by_line = now.join(by_node, "node").groupBy("line_id").agg(F.min("n").alias("m"))
         # a label is itself a line, whose own label may be less by now
         jump = by_line.select(F.col("line_id").alias("m"), F.col("m").alias("j"))
         label = by_line.join(jump, "m", "left").select("line_id", F.least("m", F.coalesce("j", "m")).alias("c2"))
-        new = now.join(label, "line_id").checkpoint()
+        new = cut(now.join(label, "line_id"))
         if not new.where("c2 <> c").head(1):
             return new.select("line_id", F.col("c2").alias("component")).distinct()
         now = new.select("line_id", "node", F.col("c2").alias("c"))
@@ -61,7 +57,7 @@ def snap_advanced(v: DataFrame, members: DataFrame, tolerance: float) -> tuple[D
                 add(i, k, x, y, None, None)
         return pd.DataFrame(rows).astype({"line_id": "Int64", "seq": "Int64"})
 
-    out = lines.groupBy("component").cogroup(nodes.groupBy("group")).applyInPandas(run, "line_id long, seq long, x double, y double, message string, ids string").checkpoint()
+    out = cut(lines.groupBy("component").cogroup(nodes.groupBy("group")).applyInPandas(run, "line_id long, seq long, x double, y double, message string, ids string"))
     moved = out.where("message is null").select("line_id", "seq", "x", "y")
     rest = v.select("line_id", "seq", "x", "y").join(comp.select("line_id"), "line_id", "left_anti")
     return moved.unionByName(rest), out.where("message is not null").select("x", "y", "message", "ids")

@@ -81,22 +81,27 @@ def road_lines(spark, sf):
     return n.select("line_id", "seq", (F.col("seq") * 25.0 + 3).cast("double").alias("x"), (F.col("line_id") * 3.5 + (F.col("seq") * 5 + F.col("line_id")) % 7 + 5).cast("double").alias("y"))
 
 
-SMALL = replace(DEFAULTS, extraction=replace(DEFAULTS.extraction, road_buffer=20))
+SMALL = replace(DEFAULTS, extraction=replace(DEFAULTS.extraction, road_buffer=40))
+
+
+def sigma(spark, sf):
+    """Over a terrain of the least height of all points, as ground points alone leave too many gaps."""
+    return C.conductivity_v1(V.points(spark, sf), V.cells(spark, sf).withColumnRenamed("v", "dtm"))
 
 
 @query()
 def least_cost_path(spark, sf):
-    return least_cost_paths(C.conductivity_v1(V.points(spark, sf)), road_lines(spark, sf), SMALL)
+    return least_cost_paths(sigma(spark, sf), road_lines(spark, sf), SMALL)
 
 
 @query()
 def measure_roads(spark, sf):
-    return measure(V.points(spark, sf), road_lines(spark, sf), SMALL)[0]
+    return measure(V.points(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf))[0]
 
 
 @query()
 def relocated_lines(spark, sf):
-    return measure(V.points(spark, sf), road_lines(spark, sf), SMALL, keep_class=4)[1]
+    return measure(V.points(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf), keep_class=4)[1]
 
 
 @query()
