@@ -11,9 +11,9 @@ from wayfold.params import DEFAULTS, Parameters
 
 
 def activation_linear(x: Column, lo: float | Column, hi: float | Column, rising: bool = True) -> Column:
-    """0 below lo, 1 above hi and a line between (the mirror image if not rising), to 3 decimals; null stays null."""
+    """0 below lo, 1 above hi and a line between (the mirror image if not rising), to 3 decimals; null stays null. Where lo equals hi, x there counts as below."""
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
-    share = F.when(x < lo, 0.0).when(x > hi, 1.0).otherwise(F.try_divide(x - lo, hi - lo))
+    share = F.when(x < lo, 0.0).when(x > hi, 1.0).when(x.isNotNull(), F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)))
     return F.round(share if rising else 1.0 - share, 3)
 
 

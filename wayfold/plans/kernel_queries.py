@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import conductivity as C
 from wayfold.operators.network import node_members
 from wayfold.operators.paths import least_cost_paths
+from wayfold.operators.raster import rasterize
 from wayfold.operators.roads import measure_roads as measure
 from wayfold.operators.smoothing import simplified, smoothed
 from wayfold.operators.snapping import snap_advanced as snap
@@ -74,11 +75,16 @@ def smooth_lines(spark, sf):
     return smoothed(V.vertices(spark, sf))
 
 
+def dense(spark, sf):
+    """The points at half the scale, so that few cells have none."""
+    return V.points(spark, sf).withColumns({"x": F.col("x") / 2, "y": F.col("y") / 2})
+
+
 def road_lines(spark, sf):
-    """A line through the points for each nation."""
+    """A line through the dense points for each nation."""
     k = F.col("n_nationkey").cast("long")
     n = V.table(spark, sf, "nation").select(k.alias("line_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint"))).alias("seq"))
-    return n.select("line_id", "seq", (F.col("seq") * 25.0 + 3).cast("double").alias("x"), (F.col("line_id") * 3.5 + (F.col("seq") * 5 + F.col("line_id")) % 7 + 5).cast("double").alias("y"))
+    return n.select("line_id", "seq", (F.col("seq") * 12.0 + 3).cast("double").alias("x"), (F.col("line_id") * 1.5 + (F.col("seq") * 5 + F.col("line_id")) % 7 + 3).cast("double").alias("y"))
 
 
 SMALL = replace(DEFAULTS, extraction=replace(DEFAULTS.extraction, road_buffer=40))
@@ -86,7 +92,8 @@ SMALL = replace(DEFAULTS, extraction=replace(DEFAULTS.extraction, road_buffer=40
 
 def sigma(spark, sf):
     """Over a terrain of the least height of all points, as ground points alone leave too many gaps."""
-    return C.conductivity_v1(V.points(spark, sf), V.cells(spark, sf).withColumnRenamed("v", "dtm"))
+    p = dense(spark, sf)
+    return C.conductivity_v1(p, rasterize(p, 1, F.min("z").alias("dtm")))
 
 
 @query()
@@ -96,17 +103,17 @@ def least_cost_path(spark, sf):
 
 @query()
 def measure_roads(spark, sf):
-    return measure(V.points(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf))[0]
+    return measure(dense(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf))[0]
 
 
 @query()
 def relocated_lines(spark, sf):
-    return measure(V.points(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf), keep_class=4)[1]
+    return measure(dense(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf), keep_class=4)[1]
 
 
 @query()
 def measure_in_place(spark, sf):
-    return measure(V.points(spark, sf), road_lines(spark, sf), replace(SMALL, confidence=1))[0]
+    return measure(dense(spark, sf), road_lines(spark, sf), replace(SMALL, confidence=1))[0]
 
 
 def members(spark, sf):

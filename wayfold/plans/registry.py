@@ -38,7 +38,7 @@ def sql_ma(src: str, key: str, order: str, v: str, n: int, out: str) -> str:
 
 
 def sql_linear(x: str, lo: str | float, hi: str | float, rising: bool = True) -> str:
-    share = f"CASE WHEN {x} < {lo} THEN 0.0::DOUBLE WHEN {x} > {hi} THEN 1.0::DOUBLE ELSE ({x} - {lo}) / nullif(CAST({hi} - {lo} AS DOUBLE), 0) END"
+    share = f"CASE WHEN {x} < {lo} THEN 0.0::DOUBLE WHEN {x} > {hi} THEN 1.0::DOUBLE WHEN {x} IS NOT NULL THEN coalesce(({x} - {lo}) / nullif(CAST({hi} - {lo} AS DOUBLE), 0), 0) END"
     return f"round({share if rising else f'1.0::DOUBLE - ({share})'}, 3)"
 
 
