@@ -154,3 +154,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     """The rows of docs that hold no window of the benchmark, with the columns that docs has."""
     found, name = contamination(docs, benchmark, window, text_col)
     return found.where(F.col(name).n_hit == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: DuckDB SQL for op7, by joining all windows of both tables.
+SQL = r"""
+WITH words AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w, doc_id FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, w[s : s + n - 1] AS k FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, s, n, w[s : s + n - 1] AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM words, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+h AS (SELECT doc_id, s, n, item_id FROM dw JOIN iw USING (n, k)),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

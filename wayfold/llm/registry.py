@@ -109,5 +109,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .chat import SQL as CHAT
+    from .decontam import SQL as DECONTAM
 
-    return {"op5_chat_format": CHAT}
+    return {"op5_chat_format": CHAT, "op7_decontamination": DECONTAM}
