@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from wayfold.llm import token_bin
+from wayfold.llm import token_bin, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,16 +20,21 @@ def reference():
 
 def texts():
     r = random.Random(5)
-    bits = [" ", "  ", "\n", "\t", "word", "Über", "don't", "'s", "123", "...", " ", "\x1c", "é", "漢字", "<|endoftext|>", " ", "a b", "\0"]
+    bits = [" ", "  ", "\n", "\t", "word", "word.", "word,!", "dogs'", "a².", "é\u0301?", "Über", "don't", "'s", "123", "...", " ", "\x1c", "é", "漢字", "<|endoftext|>", " ", "a b", "\0"]
     return ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(1500)] + ["", " ", "x " * 50000]
 
 
-def test_units_give_the_library_s_ids():
+def test_units_give_the_library_s_ids(monkeypatch):
     ts = texts()
-    ids, n = token_bin.UnitEncoder(PATH).encode(ts)
-    ends = np.cumsum(n)
-    for t, a, z, e in zip(ts, ends - n, ends, reference().encode_batch(ts, add_special_tokens=False), strict=True):
-        assert ids[a:z].tolist() == e.ids, repr(t)
+    for remembered in (800_000, 20):
+        monkeypatch.setattr(words, "REMEMBERED", remembered)
+        encoder = token_bin.UnitEncoder(PATH)
+        for part in (ts[:700], ts[700:], ts[:100]):
+            got = list(encoder.encode(pa.array(part), few=100))
+            ids, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            ends = np.cumsum(n)
+            for t, a, z, e in zip(part, ends - n, ends, reference().encode_batch(part, add_special_tokens=False), strict=True):
+                assert ids[a:z].tolist() == e.ids, repr(t)
 
 
 def test_pack_round_trip():

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .words import tidy
+
 
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores before it while df has such a column in any case."""
@@ -30,6 +32,7 @@ def with_struct(df: DataFrame, text_col: str, name: str, fields: str, make: Call
             found = work(b.column(text_col).to_pylist())
             column = pa.array([dict(zip(names, x, strict=True)) for x in found], type=kind)
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, name])
+        tidy()
 
     wanted = df.withColumn(text_col, F.col(text_col).cast("string"))
     return wanted.mapInArrow(run, T.StructType([*wanted.schema.fields, T.StructField(name, struct)]))

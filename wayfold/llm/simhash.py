@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .groups import deal, together, unite, whole_groups
 from .store import materialise
+from .words import tidy
 
 SEED = 42
 #: Distinct fingerprints compared within one task's group; hotter keys are dealt out in pairs of blocks.
@@ -46,6 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), words) for x in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        tidy()
 
     return wanted.mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -234,6 +236,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
                 out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(ws[i : i + words]), SEED) for i in range(max(1, len(ws) - words + 1) if ws else 0)], dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, shingles array<long>")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import free_name
-from .store import materialise
+from .store import materialise, small_batches
+from .words import WordIds, tidy
 
 SPACE = "▁"
 #: Units of at most so many characters go through the lattice; longer ones, whose lattice grows with the square of their length, are merged with a heap.
 UNIT_CHARS = 40
 #: Units at most whose ids are broadcast, the most frequent ones; the ids of the others are joined to the texts that hold them.
 BROADCAST_UNITS = 4_000_000
-#: Units that a worker process remembers.
-REMEMBERED = 500_000
-NO_MERGE = 1 << 30
+#: Words and units that a task counts before it passes them on.
+REMEMBERED = 150_000
 
 
 @dataclass
@@ -129,14 +129,24 @@ def pieces_of(path: str) -> tuple[Pieces, re.Pattern]:
     return p, p.breaks()
 
 
+def plain(text: str) -> bool:
+    """Whether each space of the text begins a word, so that all words can be told by text.split(" ")."""
+    return "  " not in text and SPACE not in text and text[0] != " "
+
+
 def count_units(docs: DataFrame, path: str, text_col: str) -> DataFrame:
     """(unit, n): how often each unit occurs in all texts; counted in each task before the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, breaks = pieces_of(path)
+        words: Counter = Counter()
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
+            for w, n in words.items():
+                for u in breaks.split(SPACE + w if p.prefix else w):
+                    seen[u] += n
+            words.clear()
             keys = list(seen)
             for i in range(0, len(keys), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), pa.array([seen[k] for k in keys[i : i + 50_000]], pa.int64())], names=["unit", "n"])
@@ -144,36 +154,67 @@ def count_units(docs: DataFrame, path: str, text_col: str) -> DataFrame:
 
         for b in batches:
             for i in range(0, b.num_rows, 64):
-                seen.update(chain.from_iterable(p.units(t, breaks) for t in b.column(0)[i : i + 64].to_pylist()))
-                if len(seen) > REMEMBERED:
+                for t in b.column(0)[i : i + 64].to_pylist():
+                    if t and not (p.prefix and plain(t)):
+                        seen.update(p.units(t, breaks))
+                    elif t:
+                        words.update(t.split(" "))
+                if len(seen) + len(words) > REMEMBERED:
                     yield from out()
         yield from out()
+        tidy()
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+#: A packed edge is rank * 2^20 + id, a packed pair of symbols rank * 2^8 + the place where the first begins.
+ID, AT = 1 << 20, 1 << 8
+NO_PAIR = 1 << 60
+
+
 def _key(start: Column, end: Column) -> Column:
     return start * (UNIT_CHARS + 1) + end
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def fold_merges(n: Column, edges: Column) -> Column:
-    """BPE as a fold: the bounds 0..n of a unit's symbols, of which each step drops the one inside the best-ranked edge, leftmost first."""
+    """BPE as a fold over a unit's symbols, given by their bounds 0..n and by the packed rank of each two that follow one another.
 
-    def step(bounds: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(bounds, 1, F.size(bounds) - 2), lambda s, i: F.struct(F.coalesce(edges[_key(s, F.get(bounds, i + 2))].rank, F.lit(NO_MERGE)).alias("rank"), (i + 1).alias("at")))
-        best = F.array_min(pairs)
-        return F.when((F.size(bounds) > 2) & (best.rank < NO_MERGE), F.filter(bounds, lambda _, i: i != best.at)).otherwise(bounds)
+    Each step merges the best-ranked pair, leftmost of equal ones: its inner bound goes, and the
+    pairs before and after it are looked up anew.
+    """
+
+    def pair(start: Column, end: Column) -> Column:
+        return F.coalesce(F.call_function("div", edges[_key(start, end)], F.lit(ID)) * AT + start, F.lit(NO_PAIR).cast("long"))
+
+    def merged(acc: Column, i: Column) -> Column:
+        bounds, pairs, size = acc.bounds, acc.pairs, F.size(acc.bounds)
+        before = F.when(i > 1, F.array(pair(F.get(bounds, i - 2), F.get(bounds, i + 1)))).otherwise(F.lit([]).cast("array<bigint>"))
+        after = F.when(i + 2 < size, F.array(pair(F.get(bounds, i - 1), F.get(bounds, i + 2)))).otherwise(F.lit([]).cast("array<bigint>"))
+        return F.struct(
+            F.concat(F.slice(bounds, 1, i), F.slice(bounds, i + 2, size)).alias("bounds"),
+            F.concat(F.slice(pairs, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(pairs, i + 2, size)).alias("pairs"),
+        )
+
+    def step(acc: Column, _: Column) -> Column:
+        best = F.array_min(acc.pairs)
+        return F.when(best < NO_PAIR, _let(F.array_position(acc.bounds, (best % AT).cast("int")).cast("int"), lambda i: merged(acc, i))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    every = F.sequence(F.lit(0), n)
+    start = F.struct(every.alias("bounds"), F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda s: pair(s, s + 2))).otherwise(F.lit([]).cast("array<bigint>")).alias("pairs"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda acc: acc.bounds)
 
 
-def fold_best(n: Column, edges: Column, longest: int, low: float) -> Column:
+def fold_best(n: Column, edges: Column, scores: Column, single: Column, longest: int, low: float) -> Column:
     """Viterbi as a fold over ends: the best score so far and the start of its last edge; then the bounds of the best path."""
 
     def step(acc: Column, e: Column) -> Column:
         def way(s: Column) -> Column:
-            edge = edges[_key(s, e)]
-            score = F.coalesce(edge.score, F.when(s == e - 1, F.lit(low)))
+            score = F.when(e - s > 1, F.get(scores, F.call_function("div", edges[_key(s, e)], F.lit(ID)).cast("int"))).otherwise(F.coalesce(F.get(single, F.ascii(F.col("unit").substr(s + 1, F.lit(1)))), F.lit(low)))
             return F.struct((F.get(acc, s).score + score).alias("score"), s.alias("start"))
 
         ways = F.filter(F.transform(F.sequence(F.greatest(e - longest, F.lit(0)), e - 1), way), lambda x: x.score.isNotNull())
@@ -185,6 +226,11 @@ def fold_best(n: Column, edges: Column, longest: int, low: float) -> Column:
     return walk
 
 
+def _constant(values: list, kind: str) -> Column:
+    """An array as one folded literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def lattice(units: DataFrame, p: Pieces) -> DataFrame:
     """(unit, n, ids) of the units of up to UNIT_CHARS characters.
 
@@ -193,24 +239,25 @@ def lattice(units: DataFrame, p: Pieces) -> DataFrame:
     which the rows are already dealt out, and folded.
     """
     spark = units.sparkSession
-    table = spark.createDataFrame([(s, i, p.rank[s], p.score[s]) for s, i in p.ids.items()], "piece string, id int, rank int, score double")
+    table = spark.createDataFrame([(s, p.rank[s] * ID + i) for s, i in p.ids.items()], "piece string, packed long")
     length = F.length("unit")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), length - 1),
-            lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(p.longest), length - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.col("unit").substr(s + 1, k).alias("piece"))),
-        )
-    )
-    edges = units.where(length.between(1, UNIT_CHARS)).select("unit", "n", F.explode(spans).alias("x")).select("unit", "n", "x.s", "x.e", "x.piece")
-    found = edges.join(F.broadcast(table), "piece", "left").where((F.col("e") - F.col("s") == 1) | F.col("id").isNotNull())
-    grouped = found.groupBy("unit", "n").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("s"), F.col("e")), F.struct("id", "rank", "score")))).alias("edges"))
+    starts = units.where(length.between(1, UNIT_CHARS)).select("unit", "n", F.explode(F.sequence(F.lit(0), length - 1)).alias("s"))
+    # of edges of one character only the first is kept, so that no unit is lost
+    from_ = F.when(F.col("s") == 0, 1).otherwise(F.least(F.col("s") + 2, length))
+    spans = starts.select("unit", "n", "s", F.explode(F.sequence(from_, F.least(F.col("s") + max(2, p.longest), length))).alias("e")).where("s = 0 or e > s + 1")
+    found = spans.withColumn("piece", F.col("unit").substr(F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(table), "piece", "left").where("e = 1 or packed is not null")
+    grouped = found.groupBy("unit", "n").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("s"), F.col("e")), "packed"))).alias("edges"))
     edge = F.col("edges")
-    bounds = fold_best(length, edge, p.longest, min(p.score.values(), default=0.0) - 10) if p.unigram else fold_merges(length, edge)
+    low = min(p.score.values(), default=0.0) - 10
+    ones = [p.score.get(chr(c), low) for c in range(1 + max((ord(x) for x in p.ids if len(x) == 1), default=0))]
+    bounds = fold_best(length, edge, _constant([p.score[s] for s in sorted(p.rank, key=p.rank.get)], "double"), _constant(ones, "double"), p.longest, low) if p.unigram else fold_merges(length, edge)
     folded = grouped.withColumn("bounds", bounds)
 
+    single = _constant([p.ids.get(chr(c), -1) for c in range(1 + max((ord(x) for x in p.ids if len(x) == 1), default=0))], "int")
+
     def ids(s: Column, i: Column) -> Column:
         e = F.get("bounds", i + 1)
-        known = edge[_key(s, e)].id
+        known = F.when(e - s > 1, (edge[_key(s, e)] % ID).cast("int")).otherwise(F.nullif(F.get(single, F.ascii(F.col("unit").substr(s + 1, F.lit(1)))), F.lit(-1)))
         code = F.hex(F.encode(F.col("unit").substr(s + 1, e - s), "UTF-8"))
         if p.byte:
             byte = F.array(*map(F.lit, p.byte))
@@ -239,54 +286,60 @@ def unit_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 
 def _digest(unit: str) -> int:
-    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"))
+    """As Spark's xxhash64, but unsigned."""
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), 42)
 
 
-class Ids:
-    """Ids of units, found by hash in sorted arrays; a process remembers those it met."""
+class Ids(WordIds):
+    """Ids of words, from a table of the ids of units that is sorted by hash. `missing` gathers units that the table lacks."""
 
-    def __init__(self, table: dict[str, np.ndarray]) -> None:
-        self.hash, self.at, self.flat = table["hash"], table["at"], table["flat"]
-        self.met: dict[str, int] = {}
+    #: As plain() says, for a whole column.
+    odd, share = f"  |^ |{SPACE}", 0.15  # a word is found again in the table quickly
 
-    def places(self, units: list[str]) -> np.ndarray:
+    def __init__(self, table: dict[str, np.ndarray], path: str) -> None:
+        super().__init__()
+        self.hash, self.starts, self.flat = table["hash"], table["at"], table["flat"]
+        self.pieces, self.breaks = pieces_of(path)
+        self.rare: dict[str, list[int]] = {}
+
+    def find(self, units: list[str]) -> np.ndarray:
         """The place of each unit in the table, -1 if it is not there."""
-        got = np.fromiter(map(self.met.get, units, repeat(-2)), dtype=np.int64, count=len(units))
-        if (new := np.flatnonzero(got == -2)).size:
-            if len(self.met) > REMEMBERED:
-                self.met.clear()
-            keys = list(dict.fromkeys(units[i] for i in new.tolist()))
-            h = np.array([_digest(k) for k in keys], dtype=np.uint64)
-            at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
-            at = np.where(self.hash[at] == h, at, -1) if len(self.hash) else np.full(len(h), -1)
-            fresh = dict(zip(keys, at.tolist(), strict=True))
-            self.met.update(fresh)
-            got[new] = [fresh[units[i]] for i in new.tolist()]
-        return got
+        h = np.fromiter(map(_digest, units), dtype=np.uint64, count=len(units))
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, at, -1)
+
+    def head(self, word: str) -> str | tuple[str]:
+        return word if word and self.pieces.prefix else (word,)
+
+    def cut(self, text: str) -> list:
+        return [(u,) for u in self.pieces.units(text, self.breaks)]
+
+    def learn(self, keys: list) -> list[list[int]]:
+        cut = [self.breaks.split(k[0] if type(k) is tuple else SPACE + k) if k != ("",) else [] for k in keys]
+        at = iter(self.find(list(chain.from_iterable(cut))).tolist())
+        return [list(chain.from_iterable(self.flat[self.starts[a] : self.starts[a + 1]].tolist() if (a := next(at)) >= 0 else self.rare[u] for u in units)) for units in cut]
 
 
 _LOADED: dict[str, Ids] = {}
 
 
-def _load(key: str, table: dict[str, np.ndarray]) -> Ids:
+def _load(key: str, table: dict[str, np.ndarray], path: str) -> Ids:
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Ids(table)
+        _LOADED[key] = Ids(table, path)
     return _LOADED[key]
 
 
 def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
-    """The hashes of the units in order, where each one's ids begin, and all ids."""
-    t = table.select("unit", "ids").toArrow()
-    h = np.array([_digest(u.as_py()) for u in t.column("unit")], dtype=np.uint64)
-    lists = t.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    order = np.argsort(h)
-    size = np.diff(offsets)[order]
-    at = np.concatenate([[0], np.cumsum(size)])
-    return {"hash": h[order], "at": at, "flat": flat[np.repeat(offsets[:-1][order] - at[:-1], size) + np.arange(at[-1])].astype(np.int32)}
+    """The hashes of the units in order, where each one's ids begin, and all ids. (Of 4 million units two share 64 bits with a chance of 1 in 2 million.)"""
+    t = table.select((F.xxhash64("unit")).alias("h"), "ids").orderBy(F.col("h") < 0, "h").toArrow().combine_chunks()
+    if not t.num_rows:
+        return {"hash": np.zeros(0, np.uint64), "at": np.zeros(1, np.int32), "flat": np.zeros(0, np.uint16)}
+    lists = t.column("ids").chunk(0)
+    first, flat = lists.offsets[0].as_py(), lists.flatten().to_numpy()
+    return {"hash": t.column("h").to_numpy().view(np.uint64), "at": lists.offsets.to_numpy().astype(np.int32) - first, "flat": flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32)}
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piece_ids", limit: int = BROADCAST_UNITS) -> tuple[DataFrame, str]:
@@ -298,6 +351,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
     Null and empty texts have no ids. No rows give no rows.
     """
     spark, columns = docs.sparkSession, docs.columns
+    small_batches(spark)
     name = free_name(docs, name)
     table = unit_table(docs, path, text_col)
     least = 0
@@ -307,80 +361,54 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
             least = n + 1
             break
         total += units
-    rare_col, h = free_name(docs, "rare_units"), free_name(docs, "text_hash")
     sent = spark.sparkContext.broadcast(_arrays(table.where(F.col("n") >= least)))
-    key = str(table._wayfold_path) + f"#{least}"
+    key = f"{table._wayfold_path}#{least}"
+    rare_col, text_at, h = free_name(docs, "rare_units"), free_name(docs, "piece_text"), free_name(docs, "text_hash")
     text = F.col(text_col).cast("string")
-    ready = docs
+    if isinstance(docs.schema[text_col].dataType, T.StringType):
+        text_at, ready = text_col, docs
+    else:
+        ready = docs.withColumn(text_at, text)
     if least:
-        hashed = docs.where(text.isNotNull()).select(F.sha2(text, 256).alias("h"), text.alias("text"))
+        hashed = docs.where(text.isNotNull()).select(F.unhex(F.sha2(text, 256)).alias("h"), text.alias("text"))
 
         def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p, breaks = pieces_of(path)
-            known = _load(key, sent.value)
+            known = _load(key, sent.value, path)
             for b in batches:
                 rows: tuple[list, list] = ([], [])
                 for hash_, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    units = list(dict.fromkeys(p.units(t, breaks)))
-                    rare = [u for u, at in zip(units, known.places(units).tolist(), strict=True) if at < 0]
+                    units = list(dict.fromkeys(known.pieces.units(t, known.breaks)))
+                    rare = [u for u, at in zip(units, known.find(units).tolist(), strict=True) if at < 0]
                     rows[0].extend([hash_] * len(rare))
                     rows[1].extend(rare)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string())], names=["h", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.string())], names=["h", "unit"])
 
-        rare = hashed.mapInArrow(missing, "h string, unit string").distinct().join(table.where(F.col("n") < least).select("unit", "ids"), "unit")
+        rare = hashed.mapInArrow(missing, "h binary, unit string").distinct().join(table.where(F.col("n") < least).select("unit", "ids"), "unit")
         by_text = rare.groupBy("h").agg(F.collect_list(F.struct("unit", "ids")).alias(rare_col)).withColumnRenamed("h", h)
-        ready = docs.join(by_text, F.sha2(text, 256) == F.col(h), "left").drop(h)
-    text_at = free_name(docs, "_text")
-    ready = ready.withColumn(text_at, text)
+        ready = ready.join(by_text, F.unhex(F.sha2(text, 256)) == F.col(h), "left").drop(h)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, breaks = pieces_of(path)
-        known = _load(key, sent.value)
+        known = _load(key, sent.value, path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                cut = [p.units(t, breaks) for t in b.column(text_at).to_pylist()]
-                at = known.places(list(chain.from_iterable(cut)))
-                count = np.array([len(c) for c in cut], dtype=np.int64)
-                if least and (at < 0).any():
-                    lists = []
-                    ends = np.cumsum(count)
-                    for c, z, more in zip(cut, ends.tolist(), b.column(rare_col).to_pylist(), strict=True):
-                        own = {x["unit"]: x["ids"] for x in more or ()}
-                        lists.append(list(chain.from_iterable(known.flat[known.at[a] : known.at[a + 1]].tolist() if a >= 0 else own[u] for u, a in zip(c, at[z - len(c) : z].tolist(), strict=True))))
-                    ids = pa.array(lists, pa.list_(pa.int32()))
-                else:
-                    size = known.at[at + 1] - known.at[at]
-                    ends = np.cumsum(size)
-                    flat = known.flat[np.repeat(known.at[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-                    reach = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
-                    ids = pa.ListArray.from_arrays(pa.array(reach, pa.int32()), pa.array(flat, pa.int32()))
-                kept = [c for k, c in zip(b.schema.names, b.columns, strict=True) if k not in (text_at, rare_col)]
-                yield pa.RecordBatch.from_arrays([*kept, ids], names=[*columns, name])
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                if least:
+                    known.rare = {x["unit"]: x["ids"] for more in b.column(rare_col).to_pylist() for x in more or ()}
+                kept = [c for k, c in zip(b.schema.names, b.columns, strict=True) if k in columns]
+                at = 0
+                for flat, n in known.encode(b.column(text_at)):
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(n)) for c in kept), ids], names=[*columns, name])
+                    at += len(n)
+            tidy()
 
     return ready.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])), name
 
 
 def decode(df: DataFrame, path: str, ids_col: str, name: str = "decoded") -> tuple[DataFrame, str]:
     """(df plus the text of each row's ids, that column's name): pieces one after another, bytes that are no UTF-8 as U+FFFD, without the space that encoding puts first. Null ids give null."""
+    p, _ = pieces_of(path)
     name = free_name(df, name)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, _ = pieces_of(path)
-        raw = np.frombuffer(b"".join(p.raw), dtype=np.uint8)
-        size = np.array([len(x) for x in p.raw], dtype=np.int64)
-        at = np.cumsum(size) - size
-        for b in batches:
-            texts = []
-            for x in b.column(ids_col):
-                if not x.is_valid:
-                    texts.append(None)
-                    continue
-                ids = x.values.to_numpy(zero_copy_only=False)
-                n = size[ids]
-                ends = np.cumsum(n)
-                out = raw[np.repeat(at[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes().decode("utf-8", "replace")
-                texts.append(out[1:] if p.prefix and out.startswith(" ") else out)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, name])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])), name
+    codes = _constant([x.hex() for x in p.raw], "string")
+    text = F.call_function("make_valid_utf8", F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(codes, i)), "")).cast("string"))
+    return df.withColumn(name, F.when(text.startswith(" "), F.substring(text, 2, 2_000_000_000)).otherwise(text) if p.prefix else text), name

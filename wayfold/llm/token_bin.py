@@ -6,150 +6,143 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import discard, materialise, new_path
+from .store import discard, materialise, new_path, small_batches
+from .sums import summed
+from .words import TEXTS, WordIds, tidy
 
 #: A block is closed once it holds so many ids; one longer document is a block of its own.
 BLOCK_IDS = 1_000_000
-#: Units that a task remembers the ids of; then it starts anew.
-REMEMBERED = 400_000
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_BREAK = re.compile(r"(?<=\S)(?= )")
+#: Bounds of ranges at most that become one expression.
+MAX_EDGES = 2000
+_ENDED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 
 
-class UnitEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level BPE: itself if it prints in Latin-1, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+_SPACE = _BYTES[32]
+
+
+class UnitEncoder(WordIds):
     """Ids of whole texts by a byte-level BPE of the tokenizers library, which sees each different unit once.
 
-    Such a tokenizer's pieces never go past a space that follows other than white space, so a text
-    may be cut before each such space and the ids of its units put one after another.
+    Such a tokenizer's pieces never go past a space that follows other than white space, nor from
+    a letter to a mark, so a text may be cut there and the ids of its units put one after another.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 16, dtype=np.int64)
-        self.length = np.zeros(1 << 16, dtype=np.int64)
-
-    @staticmethod
-    def units(text: str) -> list:
-        """Units without the space before them; the first, which has none, in a tuple."""
-        if _ODD_SPACE.search(text):
-            first, *rest = _BREAK.split(text)
-            return [(first,), *(x[1:] for x in rest)]
-        cut: list = text.split(" ")
-        cut[0] = (cut[0],)
-        return cut
-
-    def _learn(self, keys: list) -> None:
-        new = self.tokenizer.encode_batch([k[0] if type(k) is tuple else f" {k}" for k in keys], add_special_tokens=False)
-        lists = [x.ids for x in new]
-        flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32)
-        n, m = len(self.number), len(keys)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + m > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.length[n : n + m] = [len(x) for x in lists]
-        self.at[n : n + m] = self.used + np.concatenate([[0], np.cumsum(self.length[n : n + m])[:-1]]) if m else 0
-        self.used += len(flat)
-        self.number.update(zip(keys, range(n, n + m), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text."""
-        if len(self.number) > REMEMBERED:
-            self._forget()
-        cut = [self.units(t) for t in texts]
-        keys = list(chain.from_iterable(cut))
-        n = np.fromiter(map(self.number.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
-        if (missing := np.flatnonzero(n < 0)).size:
-            self._learn(list(dict.fromkeys(keys[i] for i in missing.tolist())))
-            n[missing] = [self.number[keys[i]] for i in missing.tolist()]
-        size = self.length[n]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.at[n] - (ends - size), size) + np.arange(total)]
-        unit_ends = np.cumsum([len(c) for c in cut])
-        reach = np.concatenate([[0], ends])[unit_ends] if cut else np.zeros(0, dtype=np.int64)
-        return ids, np.diff(np.concatenate([[0], reach]))
+        self.model = self.tokenizer.model
+        self.marks: dict[str, list[int]] = {}
+
+    def _word(self, text: str) -> list[int]:
+        """The ids of one word of the model, spelt in byte letters."""
+        return [x.id for x in self.model.tokenize(text)]
+
+    def _marks(self, text: str) -> list[int]:
+        if text not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[text] = self._word(text.encode().decode("latin-1").translate(_BYTES))
+        return self.marks[text]
+
+    def learn(self, keys: list) -> list[list[int]]:
+        lists, other = [], []
+        for i, k in enumerate(keys):
+            found = None
+            if type(k) is str:
+                m = None if k.isalpha() else _ENDED.fullmatch(k)
+                core = k if m is None else m[1]
+                if core.isalpha():  # a space and letters are one word of the model, marks after it another
+                    found = self._word(_SPACE + core if core.isascii() else f" {core}".encode().decode("latin-1").translate(_BYTES))
+                    if m is not None:
+                        found += self._marks(m[2])
+            if found is None:
+                other.append(i)
+            lists.append(found)
+        for at in range(0, len(other), 2048):  # the library's own results are large
+            few = other[at : at + 2048]
+            for i, x in zip(few, self.tokenizer.encode_batch_fast([k[0] if type(k := keys[i]) is tuple else f" {k}" for i in few], add_special_tokens=False), strict=True):
+                lists[i] = x.ids
+        return lists
+
+
+@cache
+def encoder_of(path: str) -> UnitEncoder:
+    """This process's encoder."""
+    return UnitEncoder(path)
 
 
 BLOCK = "part int, block int, doc_ids array<{id}>, n_tokens array<long>, n_ids long, {body}"
 
 
 def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
-    """Blocks of documents in ascending order, their ids as little-endian 32-bit numbers."""
+    """Blocks of documents in ascending order with their ids as little-endian numbers of `width` bytes; each task's last row has how often each id occurs in the task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = UnitEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, block = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kept: list = []
+        counts = np.zeros(0, dtype=np.int64)
         id_type = None
 
-        def batch() -> pa.RecordBatch:
-            ids = np.concatenate([x[2] for x in kept])
+        def batch(counted: bytes | None) -> pa.RecordBatch:
+            ids = np.concatenate([x[2] for x in kept]) if kept else np.zeros(0, dtype=np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([[i for x in kept for i in x[0]]], pa.list_(id_type)), pa.array([[n for x in kept for n in x[1].tolist()]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())],
-                names=["part", "block", "doc_ids", "n_tokens", "n_ids", "ids"],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([[i for x in kept for i in x[0]]], pa.list_(id_type)), pa.array([[n for x in kept for n in x[1].tolist()]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([counted], pa.binary())],
+                names=["part", "block", "doc_ids", "n_tokens", "n_ids", "width", "ids", "counts"],
             )
 
         held = 0
         for b in batches:
             id_type = b.column("doc_id").type
-            for at in range(0, b.num_rows, 256):
-                few = b.slice(at, 256)
-                ids, n = encoder.encode([t or "" for t in few.column("text").to_pylist()])
+            at = 0
+            for ids, n in chain.from_iterable(encoder.encode(b.column("text").slice(k, TEXTS)) for k in range(0, b.num_rows, TEXTS)):
                 ended = np.insert(ids, np.cumsum(n), end_id)
-                kept.append((few.column("doc_id").to_pylist(), n + 1, ended))
+                own = np.bincount(ended)
+                if len(own) > len(counts):
+                    own, counts = counts, own.astype(np.int64)
+                counts[: len(own)] += own
+                kept.append((b.column("doc_id").slice(at, len(n)).to_pylist(), n + 1, ended))
+                at += len(n)
                 held += len(ended)
                 if held >= BLOCK_IDS:
-                    yield batch()
+                    yield batch(None)
                     kept, held, block = [], 0, block + 1
-        if kept:
-            yield batch()
+        if len(counts):
+            yield batch(counts.tobytes())
+        kept = []
+        tidy()
 
-    return docs.mapInArrow(run, BLOCK.format(id=kind, body="ids binary"))
+    return docs.mapInArrow(run, BLOCK.format(id=kind, body="width int, ids binary, counts binary"))
 
 
-def id_counts(blocks: DataFrame, groups: int = 32) -> np.ndarray:
-    """How often each id occurs in all blocks: summed in each task, then in `groups` groups, then here."""
+def id_counts(blocks: DataFrame) -> np.ndarray:
+    """How often each id occurs in all blocks."""
 
-    def total(blobs: Iterable[bytes]) -> np.ndarray:
-        out = np.zeros(0, dtype=np.int64)
-        for x in blobs:
-            c = np.frombuffer(x, dtype=np.int64)
-            if len(c) > len(out):
-                out, c = c.copy(), out
-            out[: len(c)] += c
-        return out
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (np.frombuffer(x.as_py(), dtype=np.int64) for b in batches for x in b.column("counts"))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = total(np.bincount(np.frombuffer(x.as_py(), dtype="<u4")).astype(np.int64).tobytes() for b in batches for x in b.column("ids"))
-        if len(got):
-            yield pa.RecordBatch.from_pydict({"g": [TaskContext.get().partitionId() % groups], "c": [got.tobytes()]}, schema=pa.schema([("g", pa.int32()), ("c", pa.binary())]))
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = total(x.as_py() for b in batches for x in b.column("c"))
-        if len(got):
-            yield pa.RecordBatch.from_pydict({"c": [got.tobytes()]}, schema=pa.schema([("c", pa.binary())]))
-
-    rows = blocks.select("ids").mapInArrow(count, "g int, c binary").repartition(groups, "g").select("c").mapInArrow(merge, "c binary").collect()
-    return total(bytes(r.c) for r in rows)
+    return summed(blocks.select("counts").where("counts is not null"), counts)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -159,8 +152,15 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(ranks)] = width - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    each = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), each[np.arange(4) < width[:, None]].tobytes()
+    at = np.cumsum(width, dtype=np.int64) - width
+    out = np.empty(int(width.sum(dtype=np.int64)), dtype=np.uint8)
+    out[at] = ranks.astype(np.uint8)
+    for k in range(1, 4):
+        wide = np.flatnonzero(width > k)
+        if not wide.size:
+            break
+        out[at[wide] + k] = ranks[wide] >> np.uint32(8 * k) & np.uint32(255)
+    return control.tobytes(), out.tobytes()
 
 
 #: For each control byte, the four lengths that it holds.
@@ -183,6 +183,25 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _in_ranges(docs: DataFrame) -> DataFrame:
+    """Dealt out so that partitions hold ascending ranges of doc_id. For numbers the bounds come from a scan of that column alone."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("integer", "long", "short", "byte"):
+        return docs.repartitionByRange("doc_id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    edges = sorted(set(bounds or ()))
+    if len(edges) > MAX_EDGES:
+        return docs.repartitionByRange("doc_id")
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("doc_id") <= edges[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return docs.repartitionById(len(edges) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(place(0, len(edges))))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each followed by end_id, in ascending order of id_col.
 
@@ -192,9 +211,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     (equal ones by id). Null texts are empty; null ids come first; repeated ids lie together, by text.
     """
     spark = docs.sparkSession
+    small_batches(spark, 4096)
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = wanted.schema["doc_id"].dataType.simpleString()
-    ordered = wanted.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = _in_ranges(wanted).sortWithinPartitions("doc_id", "text")
     blocks = materialise(_token_blocks(ordered, tokenizer, end_id, kind), "tokens")
     del ordered
     counts = id_counts(blocks)
@@ -207,11 +227,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                control, data = pack(sent.value[np.frombuffer(b.column("ids")[i].as_py(), dtype="<u4")])
+                control, data = pack(sent.value[np.frombuffer(b.column("ids")[i].as_py(), dtype=f"<u{b.column('width')[i].as_py()}")])
                 row = b.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=[*row.schema.names[:5], "control", "data"])
 
-    blocks.mapInArrow(run, BLOCK.format(id=kind, body="control binary, data binary")).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks.drop("counts").mapInArrow(run, BLOCK.format(id=kind, body="control binary, data binary")).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
     discard(blocks)
 

@@ -19,6 +19,8 @@ EXAMPLES = 20_000
 #: Terms at most of the index; they must be this many times as frequent among toxic rows, and so significant.
 TERMS, LIFT, CHI2, LEAST_DF = 50_000, 2.0, 20.0, 4
 NEIGHBOURS, BLOCK = 15, 64
+#: Different vectors whose scores a task remembers.
+REMEMBERED = 20_000
 #: Label rows up to this number are broadcast to fetch their texts; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -55,6 +57,8 @@ class BlockMaxIndex:
         for blk in order.tolist():
             if bound[blk] <= 0 or len(best) == k and bound[blk] < -best[-1][0] - 1e-9:
                 break
+            if len(best) == k and bound[blk] <= -best[-1][0] + 1e-9 and blk * BLOCK > best[-1][1]:
+                continue  # it can at most tie, and later examples lose ties
             score = np.zeros(BLOCK)
             for t in terms:
                 blocks, _, start = self.maxima[t]
@@ -77,6 +81,7 @@ class Model:
     examples: list[tuple]  # (id, label) in the index's order
     none: float  # the share of toxic among examples without any term
     knots: tuple[np.ndarray, np.ndarray]  # votes, and how often the label is 1 at such votes
+    met: dict = field(default_factory=dict)  # a task's vectors and their scores
 
     def vector(self, text: str | None) -> dict[int, float]:
         """TF-IDF weights of the text's terms, of length 1."""
@@ -89,7 +94,17 @@ class Model:
     def score(self, text: str | None) -> tuple[float, list]:
         """The calibrated score, and the neighbours (id, label, cosine) as its evidence."""
         q = self.vector(text)
-        near = self.index.nearest(q, NEIGHBOURS) if q else []
+        if not q:
+            return self.none, []
+        key = tuple(sorted(q.items()))
+        if key not in self.met:
+            if len(self.met) >= REMEMBERED:
+                self.met.clear()
+            self.met[key] = self._judge(q)
+        return self.met[key]
+
+    def _judge(self, q: dict[int, float]) -> tuple[float, list]:
+        near = self.index.nearest(q, NEIGHBOURS)
         if not near:
             return self.none, []
         raw = vote(near, self.examples, self.none)
