@@ -14,7 +14,7 @@ from wayfold.params import DEFAULTS, Parameters
 from .kernels import least_cost
 from .lines import chords, locate, segments
 from .raster import CELL
-from .spatial import bucket
+from .spatial import bucket, in_polygons
 
 
 def near_cells(cells: DataFrame, v: DataFrame, reach: float, res: float) -> DataFrame:
@@ -46,14 +46,19 @@ def end_chords(v: DataFrame, length: float = 20) -> DataFrame:
     return j.select("line_id", F.col("x1").alias("ax"), F.col("y1").alias("ay"), *unit("x1", "y1", "sx", "sy", "a"), F.col("x2").alias("bx"), F.col("y2").alias("by"), *unit("x2", "y2", "ex", "ey", "b"))
 
 
-def masked(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float = 2) -> DataFrame:
+def masked(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float = 2, water: DataFrame | None = None, bridge: float = 5) -> DataFrame:
     """(line_id, cx, cy, sigma, cap): each line's cells with the distance factor, 1 in the caps behind its ends ("A", "B") and 0 in the shields around them.
 
     A cap is the half disc of the buffer's radius behind an end; a shield is what of the caps and of
-    the end stretches' own strips lies over the radius less 6 from both ends.
+    the end stretches' own strips lies over the radius less 6 from both ends. With water (edges of polygons as in in_polygons()), cells
+    in it are left out, but for those within `bridge` of the line, which are a bridge of sigma 1.
     """
     buf = p.extraction.road_buffer
     n = near_cells(cells, v, buf, res)
+    if water is not None:
+        places = cells.select(F.struct(*CELL).alias("pid"), ((F.col("cx") + 0.5) * res).alias("px"), ((F.col("cy") + 0.5) * res).alias("py"))
+        wet = in_polygons(places, water).select("pid.cx", "pid.cy", F.lit(True).alias("wet")).distinct()
+        n = n.join(wet, CELL, "left").where(F.col("wet").isNull() | (F.col("d") <= bridge)).withColumn("sigma", F.when(F.col("wet"), 1.0).otherwise(F.col("sigma"))).drop("wet")
     ends = n.groupBy("line_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     n = n.join(F.broadcast(ends), "line_id").join(F.broadcast(end_chords(v)), "line_id")
     f = 1 - F.coalesce(F.try_divide((F.col("d") - F.col("lo")) * F.lit(float(p.confidence)), F.col("hi") - F.col("lo")), F.lit(0.0))
@@ -70,7 +75,7 @@ def masked(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float
     return n.select("line_id", *CELL, sigma.alias("sigma"), cap.alias("cap"), "ax", "ay", "bx", "by").where("sigma is not null")
 
 
-def least_cost_paths(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float = 2) -> DataFrame:
+def least_cost_paths(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float = 2, water: DataFrame | None = None) -> DataFrame:
     """(line_id, seq, x, y, conductivity, error): for each line the cheapest way over its masked cells from cap to cap, without the part in the caps.
 
     Each line is one group; lines are no longer than road_max_len, which bounds its cells. Where
@@ -104,4 +109,4 @@ def least_cost_paths(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, r
         except Exception as e:  # one road's failure is its own row
             return rows([], float("nan"), f"{type(e).__name__}: {e}")
 
-    return masked(cells, v, p, res).groupBy("line_id").applyInPandas(run, "line_id long, seq long, x double, y double, conductivity double, error string")
+    return masked(cells, v, p, res, water).groupBy("line_id").applyInPandas(run, "line_id long, seq long, x double, y double, conductivity double, error string")

@@ -10,7 +10,7 @@ from wayfold.params import DEFAULTS, Parameters
 
 from . import profiles as Q
 from .conductivity import conductivity_v1
-from .lines import along, equal_cuts, lengths, locate, measured, sinuosity
+from .lines import along, along_distances, difference_index, equal_cuts, lengths, locate, measured, sinuosity
 from .paths import least_cost_paths
 from .points import ground_model, normalize_height
 from .smoothing import simplified, smoothed
@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return write(df)
 
 
+def road_differences(v: DataFrame, ref: DataFrame) -> DataFrame:
+    """(line_id, area_over_perimeter, p50, p90, p100, end_max): how far lines lie from those of the same id in ref. Ids in one table only, or repeated in a table of one row a line, are the caller's to check (road_id_checks)."""
+    return difference_index(ref, v).withColumnRenamed("index", "area_over_perimeter").join(along_distances(ref, v), "line_id")
+
+
 def slices_of(v: DataFrame, length: float) -> DataFrame:
     """(line_id, slice_id, distance, ox, oy, dir, span): rectangles along each line between following cuts; slice_id numbers all lines' slices."""
     p = locate(v, equal_cuts(v, length)).withColumn("seq", F.col("k"))
@@ -75,7 +80,7 @@ def slice_metrics(points: DataFrame, slices: DataFrame, p: Parameters = DEFAULTS
     return slices.join(edges, "slice_id").join(drive, "slice_id").join(share, "slice_id").select("line_id", "slice_id", "distance", (F.col("right") - F.col("left")).alias("road_width"), "drivable_width", "pzabove05", "shoulders", x.alias("x"), y.alias("y"))
 
 
-def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sigma: DataFrame | None = None, keep_class: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sigma: DataFrame | None = None, keep_class: int = 2, water: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(roads, lines, errors): each line relocated (if confidence is under 1) and measured, all lines in one job.
 
     roads has line_id and the eight result columns; lines the new vertices, or the given ones of
@@ -99,7 +104,7 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     high = normalize_height(points, dtm)
     if p.confidence < 1:
         sigma = conductivity_v1(points, dtm, p) if sigma is None else sigma
-        path = cut(least_cost_paths(sigma, work, p))
+        path = cut(least_cost_paths(sigma, work, p, water=water))
         errors = path.where("error is not null").select(owner.alias("line_id"), "error")
         cond = path.where("error is null").groupBy("line_id").agg(F.max("conductivity").alias("conductivity"), F.count("x").alias("n"))
         route = simplified(path.where("x is not null and error is null").select("line_id", "seq", "x", "y"), 3)

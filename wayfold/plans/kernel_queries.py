@@ -101,6 +101,12 @@ def least_cost_path(spark, sf):
     return least_cost_paths(sigma(spark, sf), road_lines(spark, sf), SMALL)
 
 
+@query()
+def least_cost_path_over_water(spark, sf):
+    small = V.water(spark, sf).select("gid", *((F.col(c) / 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return least_cost_paths(sigma(spark, sf), road_lines(spark, sf), SMALL, water=boxes_to_edges(small))
+
+
 @query()
 def measure_roads(spark, sf):
     return measure(dense(spark, sf), road_lines(spark, sf), SMALL, sigma(spark, sf))[0]

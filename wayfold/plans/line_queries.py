@@ -183,6 +183,24 @@ def along_road_quantiles(spark, sf):
     return d.select("line_id", *(F.round(c, 4).alias(c) for c in ("p50", "p90", "p100", "end_max")))
 
 
+RING = {
+    "a": CHORDS.format("vertices"),
+    "b": CHORDS.format("vertices_cor"),
+    "f": "SELECT line_id, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) <= sqrt((a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2) AS flip FROM a JOIN b USING (line_id)",
+    "ring": "SELECT line_id, 0 AS part, seq AS o, x, y FROM vertices UNION ALL SELECT line_id, 1, CASE WHEN flip THEN -seq ELSE seq END, x, y FROM vertices_cor JOIN f USING (line_id)",
+}
+AREA = "SELECT line_id, round(abs(sum(x * ny - nx * y) / 2) / nullif(sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))), 0), 6) AS area_over_perimeter FROM (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM ring WINDOW w AS (PARTITION BY line_id ORDER BY part, o)) GROUP BY line_id"
+ALONG_SQL = "SELECT line_id, round(quantile_cont(d, 0.5), 4) AS p50, round(quantile_cont(d, 0.9), 4) AS p90, round(max(d), 4) AS p100, round(max(d) FILTER (WHERE k = 0 OR k > n), 4) AS end_max FROM (SELECT line_id, k, n, sqrt((pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2) AS d FROM pa JOIN pb USING (line_id, k) JOIN nn USING (line_id)) GROUP BY line_id"
+
+
+@query(with_views("SELECT * FROM ar JOIN al USING (line_id)", "segs", "lens", "vertices_cor", **COR, **RING, ar=AREA, al=ALONG_SQL))
+def road_differences(spark, sf):
+    from wayfold.operators.roads import road_differences as differ
+
+    d = differ(V.vertices_cor(spark, sf), V.vertices(spark, sf))
+    return d.select("line_id", F.round("area_over_perimeter", 6).alias("area_over_perimeter"), *(F.round(c, 4).alias(c) for c in ("p50", "p90", "p100", "end_max")))
+
+
 @query("SELECT 'repeated' AS \"check\", count(*) AS n FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'missing', count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'unused', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def road_id_checks(spark, sf):
     c, o = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), V.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
