@@ -51,7 +51,7 @@ def test_viterbi_against_brute_force(spark):
 
 
 def test_long_units_merge_alike(monkeypatch, spark):
-    p, _ = sp.pieces_of(PATH)
-    units = sorted({u for t in texts() for u in p.units(t, sp.pieces_of(PATH)[1]) if u and len(u) <= sp.UNIT_CHARS})
+    p = sp.pieces_of(PATH)
+    units = sorted({u for t in texts() for u in p.cut().units(t) if u and len(u) <= sp.UNIT_CHARS})
     for row in lattice(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), p).collect():
         assert row.ids == p.merge(row.unit)

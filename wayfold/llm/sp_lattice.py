@@ -13,6 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,22 @@ BROADCAST_UNITS = 4_000_000
 REMEMBERED = 150_000
 
 
+@dataclass(frozen=True)
+class Cut:
+    """How texts fall into units; all that a task needs of a model whose units' ids it has."""
+
+    prefix: bool
+    breaks: re.Pattern
+
+    def units(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return self.breaks.split((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+
+    def of_word(self, word: str) -> list[str]:
+        return self.breaks.split(SPACE + word if self.prefix else word)
+
+
 @dataclass
 class Pieces:
     """What a SentencePiece model file says: pieces, their ids and scores, and how it treats white space."""
@@ -72,10 +89,8 @@ class Pieces:
             rules.append(f"(?<=[^{SPACE}])(?={SPACE})")
         return re.compile("|".join(rules) or r"(?!)")
 
-    def units(self, text: str | None, breaks: re.Pattern) -> list[str]:
-        if not text:
-            return []
-        return breaks.split((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+    def cut(self) -> Cut:
+        return Cut(self.prefix, self.breaks())
 
     def unmerged(self, c: str) -> list[int]:
         """The ids of a character that is no piece."""
@@ -124,9 +139,8 @@ class Pieces:
 
 
 @cache
-def pieces_of(path: str) -> tuple[Pieces, re.Pattern]:
-    p = Pieces.load(path)
-    return p, p.breaks()
+def pieces_of(path: str) -> Pieces:
+    return Pieces.load(path)
 
 
 def plain(text: str) -> bool:
@@ -134,17 +148,16 @@ def plain(text: str) -> bool:
     return "  " not in text and SPACE not in text and text[0] != " "
 
 
-def count_units(docs: DataFrame, path: str, text_col: str) -> DataFrame:
+def count_units(docs: DataFrame, cut: Cut, text_col: str) -> DataFrame:
     """(unit, n): how often each unit occurs in all texts; counted in each task before the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, breaks = pieces_of(path)
         words: Counter = Counter()
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
             for w, n in words.items():
-                for u in breaks.split(SPACE + w if p.prefix else w):
+                for u in cut.of_word(w):
                     seen[u] += n
             words.clear()
             keys = list(seen)
@@ -155,8 +168,8 @@ def count_units(docs: DataFrame, path: str, text_col: str) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 for t in b.column(0)[i : i + 64].to_pylist():
-                    if t and not (p.prefix and plain(t)):
-                        seen.update(p.units(t, breaks))
+                    if t and not (cut.prefix and plain(t)):
+                        seen.update(cut.units(t))
                     elif t:
                         words.update(t.split(" "))
                 if len(seen) + len(words) > REMEMBERED:
@@ -271,12 +284,12 @@ def lattice(units: DataFrame, p: Pieces) -> DataFrame:
 
 def unit_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(unit, n, ids) of all units of all texts, written to the shared folder."""
-    p, _ = pieces_of(path)
-    units = count_units(docs, path, text_col)
-    short = lattice(units, p)
+    p = pieces_of(path)
+    units = materialise(count_units(docs, p.cut(), text_col), "counted")
+    short = lattice(units.repartition("unit"), p)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, _ = pieces_of(path)
+        q = pieces_of(path)
         for b in batches:
             ids = [(q.best_path if q.unigram else q.merge)(u) for u in b.column("unit").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
@@ -296,10 +309,11 @@ class Ids(WordIds):
     #: As plain() says, for a whole column.
     odd, share = f"  |^ |{SPACE}", 0.15  # a word is found again in the table quickly
 
-    def __init__(self, table: dict[str, np.ndarray], path: str) -> None:
+    def __init__(self, table: dict[str, Broadcast], cut: Cut) -> None:
         super().__init__()
-        self.hash, self.starts, self.flat = table["hash"], table["at"], table["flat"]
-        self.pieces, self.breaks = pieces_of(path)
+        # one after another, so that no more than one is in memory twice while it is read
+        self.hash, self.starts, self.flat = (table[k].value for k in ("hash", "at", "flat"))
+        self.how = cut
         self.rare: dict[str, list[int]] = {}
 
     def find(self, units: list[str]) -> np.ndarray:
@@ -311,13 +325,13 @@ class Ids(WordIds):
         return np.where(self.hash[at] == h, at, -1)
 
     def head(self, word: str) -> str | tuple[str]:
-        return word if word and self.pieces.prefix else (word,)
+        return word if word and self.how.prefix else (word,)
 
     def cut(self, text: str) -> list:
-        return [(u,) for u in self.pieces.units(text, self.breaks)]
+        return [(u,) for u in self.how.units(text)]
 
     def learn(self, keys: list) -> list[list[int]]:
-        cut = [self.breaks.split(k[0] if type(k) is tuple else SPACE + k) if k != ("",) else [] for k in keys]
+        cut = [self.how.breaks.split(k[0] if type(k) is tuple else SPACE + k) if k != ("",) else [] for k in keys]
         at = iter(self.find(list(chain.from_iterable(cut))).tolist())
         return [list(chain.from_iterable(self.flat[self.starts[a] : self.starts[a + 1]].tolist() if (a := next(at)) >= 0 else self.rare[u] for u in units)) for units in cut]
 
@@ -325,10 +339,11 @@ class Ids(WordIds):
 _LOADED: dict[str, Ids] = {}
 
 
-def _load(key: str, table: dict[str, np.ndarray], path: str) -> Ids:
+def _load(key: str, table: dict[str, Broadcast], cut: Cut) -> Ids:
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Ids(table, path)
+        _LOADED[key] = Ids(table, cut)
+        tidy()
     return _LOADED[key]
 
 
@@ -361,7 +376,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
             least = n + 1
             break
         total += units
-    sent = spark.sparkContext.broadcast(_arrays(table.where(F.col("n") >= least)))
+    sent = {k: spark.sparkContext.broadcast(v) for k, v in _arrays(table.where(F.col("n") >= least)).items()}
+    cut = pieces_of(path).cut()
     key = f"{table._wayfold_path}#{least}"
     rare_col, text_at, h = free_name(docs, "rare_units"), free_name(docs, "piece_text"), free_name(docs, "text_hash")
     text = F.col(text_col).cast("string")
@@ -373,11 +389,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
         hashed = docs.where(text.isNotNull()).select(F.unhex(F.sha2(text, 256)).alias("h"), text.alias("text"))
 
         def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _load(key, sent.value, path)
+            known = _load(key, sent, cut)
             for b in batches:
                 rows: tuple[list, list] = ([], [])
                 for hash_, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    units = list(dict.fromkeys(known.pieces.units(t, known.breaks)))
+                    units = list(dict.fromkeys(cut.units(t)))
                     rare = [u for u, at in zip(units, known.find(units).tolist(), strict=True) if at < 0]
                     rows[0].extend([hash_] * len(rare))
                     rows[1].extend(rare)
@@ -388,7 +404,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
         ready = ready.join(by_text, F.unhex(F.sha2(text, 256)) == F.col(h), "left").drop(h)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _load(key, sent.value, path)
+        known = _load(key, sent, cut)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
@@ -407,7 +423,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
 
 def decode(df: DataFrame, path: str, ids_col: str, name: str = "decoded") -> tuple[DataFrame, str]:
     """(df plus the text of each row's ids, that column's name): pieces one after another, bytes that are no UTF-8 as U+FFFD, without the space that encoding puts first. Null ids give null."""
-    p, _ = pieces_of(path)
+    p = pieces_of(path)
     name = free_name(df, name)
     codes = _constant([x.hex() for x in p.raw], "string")
     text = F.call_function("make_valid_utf8", F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(codes, i)), "")).cast("string"))
