@@ -180,6 +180,8 @@ def count_units(docs: DataFrame, cut: Cut, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+#: Units whose lattices one task holds.
+PART_UNITS = 20_000
 #: A packed edge is rank * 2^20 + id, a packed pair of symbols rank * 2^8 + the place where the first begins.
 ID, AT = 1 << 20, 1 << 8
 NO_PAIR = 1 << 60
@@ -286,7 +288,9 @@ def unit_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(unit, n, ids) of all units of all texts, written to the shared folder."""
     p = pieces_of(path)
     units = materialise(count_units(docs, p.cut(), text_col), "counted")
-    short = lattice(units.repartition("unit"), p)
+    # by number, for small rows become many: a part is not to grow with the table
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.count() // PART_UNITS + 1)
+    short = lattice(units.repartition(parts, "unit"), p)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = pieces_of(path)
@@ -307,7 +311,7 @@ class Ids(WordIds):
     """Ids of words, from a table of the ids of units that is sorted by hash. `missing` gathers units that the table lacks."""
 
     #: As plain() says, for a whole column.
-    odd, share = f"  |^ |{SPACE}", 0.15  # a word is found again in the table quickly
+    odd, share = f"  |^ |{SPACE}", 0.1  # a word is found again in the table quickly
 
     def __init__(self, table: dict[str, Broadcast], cut: Cut) -> None:
         super().__init__()
@@ -349,12 +353,16 @@ def _load(key: str, table: dict[str, Broadcast], cut: Cut) -> Ids:
 
 def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
     """The hashes of the units in order, where each one's ids begin, and all ids. (Of 4 million units two share 64 bits with a chance of 1 in 2 million.)"""
-    t = table.select((F.xxhash64("unit")).alias("h"), "ids").orderBy(F.col("h") < 0, "h").toArrow().combine_chunks()
-    if not t.num_rows:
-        return {"hash": np.zeros(0, np.uint64), "at": np.zeros(1, np.int32), "flat": np.zeros(0, np.uint16)}
-    lists = t.column("ids").chunk(0)
-    first, flat = lists.offsets[0].as_py(), lists.flatten().to_numpy()
-    return {"hash": t.column("h").to_numpy().view(np.uint64), "at": lists.offsets.to_numpy().astype(np.int32) - first, "flat": flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32)}
+    t = table.select(F.xxhash64("unit").alias("h"), "ids").orderBy(F.col("h") < 0, "h").toArrow()
+    # chunk by chunk into narrow arrays, so that the driver never holds the wide table twice
+    h = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in t.column("h").chunks)]).view(np.uint64)
+    size = np.concatenate([np.zeros(1, np.int32), *(np.diff(c.offsets.to_numpy()) for c in t.column("ids").chunks)])
+    most = max((c.flatten().to_numpy().max(initial=0) for c in t.column("ids").chunks), default=0)
+    kind = np.uint16 if most < 1 << 16 else np.uint32
+    flat = np.concatenate([np.zeros(0, kind), *(c.flatten().to_numpy().astype(kind) for c in t.column("ids").chunks)])
+    del t
+    tidy()
+    return {"hash": h, "at": np.cumsum(size, dtype=np.int32), "flat": flat}
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piece_ids", limit: int = BROADCAST_UNITS) -> tuple[DataFrame, str]:
@@ -366,7 +374,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
     Null and empty texts have no ids. No rows give no rows.
     """
     spark, columns = docs.sparkSession, docs.columns
-    small_batches(spark)
+    small_batches(spark, 1000)
     name = free_name(docs, name)
     table = unit_table(docs, path, text_col)
     least = 0
@@ -376,7 +384,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
             least = n + 1
             break
         total += units
-    sent = {k: spark.sparkContext.broadcast(v) for k, v in _arrays(table.where(F.col("n") >= least)).items()}
+    arrays = _arrays(table.where(F.col("n") >= least))
+    sent = {k: spark.sparkContext.broadcast(arrays.pop(k)) for k in list(arrays)}
+    tidy()
     cut = pieces_of(path).cut()
     key = f"{table._wayfold_path}#{least}"
     rare_col, text_at, h = free_name(docs, "rare_units"), free_name(docs, "piece_text"), free_name(docs, "text_hash")
