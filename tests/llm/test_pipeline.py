@@ -84,3 +84,22 @@ def test_columns_stay(spark, folder):
     df = spark.read.parquet(f"{path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, path).columns == df.columns
+
+
+def copies(n, seed):
+    """n texts of one base, each with a block of 18 words of its own."""
+    r = random.Random(seed)
+    base = [f"b{seed}x{i}" for i in range(300)]
+    out = []
+    for k in range(n):
+        at = r.randrange(283)
+        out.append(" ".join([*base[:at], *(f"c{seed}x{k}x{i}" for i in range(18)), *base[at + 18 :]]))
+    return out
+
+
+@pytest.mark.parametrize("cap", [2048, 300])
+def test_large_groups_of_near_copies(spark, cap):
+    texts = copies(100, 1) + copies(700, 2) + copies(30, 3)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in keep_one(df, cap=cap).collect()) == brute_keep(rows)

@@ -1,10 +1,10 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle."""
+"""SimHash near-duplicates by the generalised pigeonhole principle, and alike texts by an exact prefix filter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
-from math import comb
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .groups import deal, together, unite, whole_groups
-from .store import materialise
+from .store import discard, materialise, small_batches
 from .words import tidy
 
 SEED = 42
@@ -224,48 +224,272 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, cap: int =
 
 #: Ids to drop up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Texts that tell which shingles are common, and the number of them from which a shingle is.
+SAMPLE, COMMON = 4000, 8
+#: Texts with their shingles compared within one task's group, and rounds in which a text goes to one key only.
+SETS_CAP, ROUNDS = 2048, 3
+#: Keys with up to so many candidate pairs for each node give pairs; nodes of the others are compared in whole groups.
+PAIRS = 16
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different XXH64 of the text's word shingles, in ascending order."""
+    ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not ws:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(ws) - words + 1)
+    shingles = [b" ".join(ws)] if n == 1 else map(b" ".join, zip(*(ws[i:] for i in range(words))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n))
+
+
+def set_node(s: np.ndarray) -> int:
+    """64 bits, as a signed number, that stand for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): the different XXH64 of each text's word shingles, for docs of (doc_id, text)."""
+    """(node, shingles) of each text of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(ws[i : i + words]), SEED) for i in range(max(1, len(ws) - words + 1) if ws else 0)], dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
         tidy()
 
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of COMMON or more of about SAMPLE texts, in ascending order, and in how many each is."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n) + 1) if n > SAMPLE else docs
+    found = shingle_sets(some, words).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).toArrow()
+    s = found.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(s)
+    return s[order], found.column("count").to_numpy()[order]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, node, size, sig, prefix): two texts that are as similar share a shingle of their prefixes.
+
+    The prefix filter: in one order of all shingles, sets of n shingles with a Jaccard similarity of
+    at least s share one of the first n - ceil(s n) + 1 of each. Any order does; common shingles
+    come last, so that few texts share a prefix's shingle without being alike. sig counts the set's
+    shingles in 64 buckets, 255 at most in each.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = sent.value
+        for b in batches:
+            nodes, sizes, sigs, out = [], [], [], []
+            for t in b.column("text"):
+                s = shingle_set(t.as_py(), words)
+                nodes.append(set_node(s))
+                sizes.append(len(s))
+                sigs.append(np.minimum(np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes())
+                p = len(s) - ceil(similarity * len(s) - 1e-9) + 1
+                if len(common) and len(s):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")]
+                out.append(s[:p].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "sig", "prefix"])
+        tidy()
+
+    return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, sig binary, prefix array<long>")
+
+
+def spanning_links(sets: list[np.ndarray], comp: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links, each of a true similarity, that join just those sets that all links and equal `comp` would join.
+
+    A search from set to set: those that a reached one links are reached and not looked at again,
+    so alike sets take few comparisons, and no pair of unlike ones is left out.
+    """
+    size = np.array([len(s) for s in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(token, np.cumsum(size)[:-1])
+    mark = np.zeros(len(token), dtype=np.int32)
+    _, comp = np.unique(comp, return_inverse=True)
+    left = np.arange(len(sets))
+    links: list[tuple[int, int]] = []
+    while left.size:
+        front = left[comp[left] == comp[left[0]]].tolist()
+        left = left[comp[left] != comp[left[0]]]
+        flat = np.concatenate([own[i] for i in left]) if left.size else None
+        while front and left.size:
+            x = front.pop()
+            mark[own[x]] = 1
+            starts = np.cumsum(size[left]) - size[left]
+            both = np.add.reduceat(mark[flat], starts)
+            mark[own[x]] = 0
+            near = both >= similarity * (size[x] + size[left] - both) - 1e-9
+            if near.any():
+                links += [(x, int(y)) for y in left[near]]
+                reached = np.isin(comp[left], comp[left[near]])
+                front += left[reached].tolist()
+                flat = flat[np.repeat(~reached, size[left])]
+                left = left[~reached]
+    return links
+
+
+def verified_links(rows: DataFrame, sets: DataFrame, similarity: float, cap: int) -> DataFrame:
+    """(a, b): links among the nodes of equal key in rows (key, node, comp), by their sets (node, shingles)."""
+    dealt = deal(rows, ["key"], "node", cap)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in whole_groups(batches, ["key"], rows=cap):
+            node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+            lists = t.column("shingles").combine_chunks()
+            if isinstance(lists, pa.ChunkedArray):
+                lists = pa.concat_arrays(lists.chunks)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            ends = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+            a, b = [], []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for x, y in spanning_links([values[at[k] : at[k + 1]] for k in range(i, j)], comp[i:j], similarity) if j > i + 1 else ():
+                    a.append(node[i + x])
+                    b.append(node[i + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        tidy()
+
+    return together(dealt.join(sets, "node").select("key", "ba", "bb", "node", "comp", "shingles"), ["key"]).mapInArrow(run, "a long, b long")
+
+
+def may_link(rows: DataFrame, similarity: float, cap: int = GROUP_CAP) -> DataFrame:
+    """The rows (key, node, pos, size, sig, comp) that may link there with one of another comp, with n, how many do of the key, and the other node.
+
+    A key of few such pairs gives a row for each pair; else there is one for each node, and other is null.
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 11, cap: int = GROUP_CAP) -> DataFrame:
+    Three bounds leave no pair out: sets are too unlike in size; their first common shingle comes so
+    late that too few are left behind it (each pair is looked at in its first common key); or their
+    buckets' counts differ by more than the sets may.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in whole_groups(batches, ["key"]):
+            node, pos, size, comp = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "pos", "size", "comp"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, 64)
+            may = np.zeros(len(g), dtype=bool)
+            count = np.zeros(int(g[-1]) + 1, dtype=np.int64)
+            members = np.bincount(g, minlength=len(count))
+            met: list[tuple[np.ndarray, np.ndarray]] = []
+            i, step = np.arange(len(g)), 1
+            while i.size:
+                i = i[i < len(g) - step]
+                i = i[g[i] == g[i + step]]
+                j = i + step
+                total = size[i] + size[j]
+                least = similarity / (1 + similarity) * total - 1e-6
+                ok = np.flatnonzero((comp[i] != comp[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least))
+                for at in range(0, len(ok), 100_000):
+                    k = ok[at : at + 100_000]
+                    x, y = sig[i[k]], sig[j[k]]
+                    k = k[(np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= total[k] - 2 * least[k]]
+                    may[i[k]] = may[j[k]] = True
+                    np.add.at(count, g[i[k]], 1)
+                    own = count[g[i[k]]] <= PAIRS * members[g[i[k]]]
+                    met.append((i[k][own], j[k][own]))
+                step += 1
+            few = (count <= PAIRS * members)[g]
+            a, b = (np.concatenate([m[e] for m in met] or [np.zeros(0, dtype=np.int64)]) for e in (0, 1))
+            a, b = a[few[a]], b[few[a]]
+            dense = np.flatnonzero(may & ~few)
+            n = np.bincount(g, weights=may)[g].astype(np.int64)
+            both = t.take(pa.array(np.concatenate([a, dense])))
+            other = pa.array(np.concatenate([node[b], node[dense]]), mask=np.arange(len(a) + len(dense)) >= len(a))
+            yield from both.select(["key", "node", "pos", "size", "sig", "comp"]).append_column("n", pa.array(n[np.concatenate([a, dense])])).append_column("other", other).combine_chunks().to_batches()
+
+    return together(deal(rows, ["key"], "node", cap), ["key"]).mapInArrow(run, "key long, node long, pos int, size int, sig binary, comp long, n long, other long")
+
+
+def wide_counts(sets: DataFrame) -> DataFrame:
+    """(node, size, wide): each set's shingles in 1024 buckets, 255 at most in each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [x.values.to_numpy() for x in b.column("shingles")]
+            wide = [np.minimum(np.bincount(x & 1023, minlength=1024), 255).astype(np.uint8).tobytes() for x in lists]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(x) for x in lists], pa.int32()), pa.array(wide, pa.binary())], names=["node", "size", "wide"])
+        tidy()
+
+    return sets.mapInArrow(run, "node long, size int, wide binary")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets (node, shingles) are as similar; only those whose buckets allow it meet with their sets."""
+    counts = wide_counts(sets)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 1024) for c in ("x", "y"))
+                most = (1 - similarity) / (1 + similarity) * b.column("total").to_numpy() + 1e-6
+                yield b.select(["a", "b"]).filter(pa.array((np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= most))
+
+    sides = pairs.join(counts.select(F.col("node").alias("a"), F.col("wide").alias("x"), F.col("size").alias("p")), "a").join(counts.select(F.col("node").alias("b"), F.col("wide").alias("y"), F.col("size").alias("q")), "b")
+    pairs = materialise(sides.select("a", "b", "x", "y", (F.col("p") + F.col("q")).alias("total")).mapInArrow(run, "a long, b long"), "pairs")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+
+def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, cap: int) -> DataFrame:
+    """(node, root) for each of nodes (node, size, sig, prefix) that links: components of all links, none left out.
+
+    Candidates of keys with few are pairs, each compared once. Of the other keys each node at first
+    goes to one only, that with most nodes, which joins most of what is alike; keys whose nodes are
+    joined by then are settled. All the rest are compared at last.
+    """
+    keys = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
+    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    rows = keys.join(shared, "key").join(nodes.select("node", "size", "sig"), "node").withColumn("comp", F.col("node"))
+    found = materialise(may_link(rows, similarity), "candidates")
+    wanted = materialise(found.select("node").union(found.where("other is not null").select("other")).distinct(), "wanted")
+    n, sets = wanted.count(), materialise(sets_of(wanted), "shingles")
+    links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for k in range(ROUNDS + 1):
+        pairs = materialise(found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+        links = links.unionByName(linked_pairs(pairs, sets, similarity))
+        dense = materialise(found.where("other is null").groupBy("key", "node").agg(*(F.first(c).alias(c) for c in ("pos", "size", "sig", "comp")), F.max("n").alias("n")), "dense")
+        total = dense.count()
+        last = k == ROUNDS or total <= 2 * n
+        if total:
+            some = dense if last else dense.groupBy("node").agg(F.max(F.struct("n", "key", "comp")).alias("x")).select("x.key", "node", "x.comp")
+            links = links.unionByName(verified_links(some.select("key", "node", "comp"), sets, similarity, cap))
+        roots = connected_components(links)
+        if last:
+            break
+        roots = materialise(roots, "roots")
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        now = dense.drop("n", "comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        discard(found)
+        found = materialise(may_link(now, similarity), "candidates")
+    return roots
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = SETS_CAP) -> DataFrame:
     """The rows of docs less near-duplicates: of each group of alike texts the one with the least doc_id stays.
 
-    Fingerprints of 3-word shingles within the wide radius are candidates. A candidate pair is a
-    link if its texts' `words`-word shingle sets have a Jaccard similarity of at least `similarity`;
-    equal fingerprints are links. (Within a key of the index, members that connect with over 32
-    others keep a spanning forest of candidates instead of all pairs.) Rows of a null id
-    all stay; of rows that repeat an id, one stays.
+    Two texts are alike if their sets of different `words`-word shingles have a Jaccard similarity of
+    at least `similarity`; groups are joined by all such pairs. An exact prefix filter finds them, so
+    none is missed and none is taken without a comparison (shingles and equal sets are told by 64-bit
+    hashes). Rows of a null id all stay; of rows that repeat an id, one stays.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    prints = materialise(fingerprints(rows), "simhash")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    pairs = materialise(near_links(nodes, radius, cap, pairs_up_to=32).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.where("least is not null"), "fp"), "ends")
-    wanted = ends.select(F.col("least").alias("doc_id"))
-    texts = rows.join(F.broadcast(wanted) if ends.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    sets = materialise(shingle_sets(texts, words).dropDuplicates(["doc_id"]).join(ends, F.col("doc_id") == F.col("least")).select("fp", "shingles"), "shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-    roots = connected_components(links)
-    of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    to = materialise(of.join(of.groupBy("root").agg(F.min("least").alias("kept")), "root").select("fp", "kept"), "kept")
-    gone = materialise(prints.join(to, "fp").where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    prints = materialise(prefixes(rows, words, similarity), "prefixes")
+    nodes = materialise(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "sig", "prefix"))), "nodes")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id"))
+        texts = rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        return shingle_sets(texts, words).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    roots = similar_components(nodes, sets_of, similarity, cap).withColumnRenamed("node", "of")
+    of = nodes.join(roots, nodes.node == roots.of, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    to = materialise(of.join(of.groupBy("root").agg(F.min("least").alias("kept")), "root").select("node", "kept"), "kept")
+    gone = materialise(prints.join(to, "node").where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if prints.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1):
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
