@@ -103,3 +103,11 @@ def test_large_groups_of_near_copies(spark, cap):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in keep_one(df, cap=cap).collect()) == brute_keep(rows)
+
+
+def test_repeated_lines_do_not_make_duplicates(spark):
+    line = " ".join(f"line{i}" for i in range(11))
+    rows = [(k, " ".join([line] * n + [f"own{k}x{i}" for i in range(m)])) for k, (n, m) in enumerate([(40, 100)] * 6 + [(100, 300)] * 6)]
+    assert brute_keep(rows) == list(range(12))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == list(range(12))
