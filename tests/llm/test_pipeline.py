@@ -111,3 +111,37 @@ def test_repeated_lines_do_not_make_duplicates(spark):
     assert brute_keep(rows) == list(range(12))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in keep_one(df).collect()) == list(range(12))
+
+
+def planted(pairs, seed):
+    """Rows (2k, text) and (2k + 1, a text like it): text appended, one block changed, words changed, a line repeated."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(pairs):
+        n = r.choice([60, 200, 800])
+        ws = [f"w{k}x{i}" for i in range(n)]
+        other, part = list(ws), r.uniform(0.07, 0.25)
+        if k % 4 == 0:
+            other += [f"a{k}x{i}" for i in range(int(n * part))]
+        elif k % 4 == 1:
+            m = max(1, int(n * part / 2) - 4)
+            at = r.randrange(n - m)
+            other[at : at + m] = [f"c{k}x{i}" for i in range(m)]
+        elif k % 4 == 2:
+            for _ in range(max(1, int(n * part / 10))):
+                other[r.randrange(n)] = f"e{k}x{r.random()}"
+        else:
+            at = r.randrange(n - 11)
+            other = ws[: at + 11] + ws[at : at + 11] * 5 + ws[at + 11 :]
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_recall_on_planted_pairs(spark):
+    rows = planted(600, 5)
+    alike = [k for k in range(600) if len((a := shingles(rows[2 * k][1])) & (b := shingles(rows[2 * k + 1][1]))) >= 0.8 * len(a | b)]
+    assert 200 < len(alike) < 590
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [k for k in alike if 2 * k + 1 not in kept]
+    assert len(found) == len(alike), f"{len(found)} of {len(alike)}"
+    assert len(kept) == 1200 - len(alike)
