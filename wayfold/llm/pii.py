@@ -104,7 +104,7 @@ def pseudonym(value: Column, kind: Column, key: Column) -> Column:
     """A value of the same kind, length and separators that is valid too; equal digits give equal ones, whatever the separators.
 
     card: all digits but the last are permuted, and the last one makes the Luhn sum right. date: a
-    day of 400 years. ip: its four octets. phone: all digits but the first. ssn: its valid combinations. iban: the digits after the country, with new check
+    day of 400 years. ip: its four octets. phone: all digits but the first. ssn: its valid combinations. iban: all digits after the country, those after the 18th tweaked by the new ones before, with new check
     digits. email: a name of hexadecimal digits at example.com, for letters have no check to keep.
     """
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -127,7 +127,9 @@ def pseudonym(value: Column, kind: Column, key: Column) -> Column:
     tail = F.substring(value, 5, 40)
     tail_digits = F.regexp_replace(tail, "[^0-9]", "")
     few = F.least(F.length(tail_digits), F.lit(18))
-    new_tail = put_digits(tail, F.concat(F.when(few > 0, permute_digits(tail_digits.substr(F.lit(1), few), key, F.lit("iban"))).otherwise(F.lit("")), tail_digits.substr(few + 1, F.lit(40))))
+    head = F.when(few > 0, permute_digits(tail_digits.substr(F.lit(1), few), key, F.lit("iban"))).otherwise(F.lit(""))
+    rest = tail_digits.substr(few + 1, F.lit(40))
+    new_tail = put_digits(tail, F.concat(head, F.when(F.length(rest) > 0, permute_digits(rest, key, F.concat_ws(":", F.lit("iban"), head))).otherwise(F.lit(""))))
     country = F.substring(value, 1, 2)
     iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), new_tail))).cast("string"), 2, "0"), new_tail)
     return (
