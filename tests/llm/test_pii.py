@@ -64,3 +64,12 @@ def test_all_digits_of_long_ibans_change(spark):
         assert all(iban_ok(v) and len(v) == len(values[0]) for v in new) and len(set(new)) == 100
         # the tail after the 18th digit is a real one only by chance
         assert sum(a[22:] == b[22:] for a, b in zip(values, new, strict=True)) < 40
+
+
+def test_card_beside_other_numbers(spark):
+    rows = ["4111111111111111 12/27", "4111 1111 1111 1111 123", "paid 20 4111111111111111", "20 4111-1111-1111-1111; 4111111111111112 12"]
+    out = pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]
+    for row, card, got in zip(rows, cards, out, strict=True):
+        assert [(m.kind, m.value) for m in got.pii_found] == [("card", card)]
+        assert luhn(got.pii_found[0].pseudonym) and got.pii_text == row.replace(card, got.pii_found[0].pseudonym) != row

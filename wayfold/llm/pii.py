@@ -90,6 +90,21 @@ def kind_of(value: Column) -> Column:
     return reduce(lambda rest, k: F.when(full[k], F.when(iban_rest(value) == 1, F.lit("iban")) if k == "iban" else F.when(F.coalesce(valid[k], F.lit(False)), F.lit(k))).otherwise(rest), reversed(list(PATTERNS)), F.lit(None).cast("string"))
 
 
+def card_within(value: Column) -> Column:
+    """(n, back, value), back its place less than zero, of the longest valid card made of whole digit groups of value, the first of equal ones; null if there is none."""
+    groups = F.split(value, "[ -]")
+    first = lambda i: F.length(F.array_join(F.slice(groups, 1, i), "-")) + F.when(i > 0, 2).otherwise(1)
+    run = lambda i, j: F.slice(groups, i + 1, j - i + 1)
+
+    def span(i: Column, j: Column) -> Column:
+        return F.struct(F.length(F.array_join(run(i, j), "")).alias("n"), (-first(i)).alias("back"), value.substr(first(i), F.length(F.array_join(run(i, j), "-"))).alias("value"))
+
+    last = F.size(groups) - 1
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: span(i, j))))
+    sized = F.filter(spans, lambda c: c.n.between(13, 19))
+    return F.array_max(F.filter(sized, lambda c: luhn_sum(F.regexp_replace(c.value, "[^0-9]", "")) % 10 == 0))
+
+
 def iban_rest(value: Column) -> Column:
     """An IBAN's remainder by 97, its first four characters last and letters as 10 to 35."""
     moved = F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))
@@ -147,7 +162,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", prefix: str
     """docs plus the columns {prefix}_found array<(kind, value, pseudonym)> and {prefix}_text, or with underscores before them if docs has such columns.
 
     Every match of PATTERNS in the whole text is validated; those that pass are replaced in
-    {prefix}_text, the others stay as they are and are not listed. Null texts stay null and list
+    {prefix}_text, the others stay as they are and are not listed. Of digit groups that are no card
+    together, those that are one by themselves are replaced. Null texts stay null and list
     nothing. The key is a secret of the caller: with another one pseudonyms no longer link.
     """
     names = {c.lower() for c in docs.columns}
@@ -156,9 +172,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", prefix: str
     text, secret = F.col(text_col).cast("string"), F.lit(key)
     # each pattern takes a digit or an @, so texts without them are not searched
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.lit([]).cast("array<string>"))
-    validated = F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
-    every = F.transform(validated, lambda m: F.struct(m.kind.alias("kind"), m.value.alias("value"), F.coalesce(pseudonym(m.value, m.kind, secret), m.value).alias("pseudonym")))
+    looks_card = lambda m: m.rlike(f"^(?:{PATTERNS['card']})$") & m.rlike("[ -]")
+    tried = F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
+    inner = F.transform(tried, lambda m: F.struct(m.kind.alias("kind"), m.value.alias("value"), F.when(m.kind.isNull() & looks_card(m.value), card_within(m.value)).alias("card")))
+    validated = F.transform(
+        inner,
+        lambda m: F.struct(
+            F.when(m.card.isNotNull(), F.lit("card")).otherwise(m.kind).alias("kind"),
+            F.coalesce(m.card.value, m.value).alias("value"),
+            F.when(m.card.isNotNull(), m.value.substr(F.lit(1), -m.card.back - 1)).otherwise(F.lit("")).alias("before"),
+            F.when(m.card.isNotNull(), m.value.substr(-m.card.back + F.length(m.card.value), F.length(m.value))).otherwise(F.lit("")).alias("after"),
+        ),
+    )
+    every = F.transform(validated, lambda m: F.struct(m.kind.alias("kind"), m.value.alias("value"), F.coalesce(pseudonym(m.value, m.kind, secret), m.value).alias("pseudonym"), m.before.alias("before"), m.after.alias("after")))
     listed = docs.withColumn(f"{prefix}_all", every)
     pieces = F.split(text, ANY)
-    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(f"{prefix}_all")), f"{prefix}_all", lambda p, m: F.concat(p, m.pseudonym)), ""), F.element_at(pieces, -1))
-    return listed.withColumns({f"{prefix}_found": F.filter(f"{prefix}_all", lambda m: m.kind.isNotNull()), f"{prefix}_text": F.when(F.size(f"{prefix}_all") == 0, text).otherwise(rebuilt)}).drop(f"{prefix}_all")
+    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(f"{prefix}_all")), f"{prefix}_all", lambda p, m: F.concat(p, m.before, m.pseudonym, m.after)), ""), F.element_at(pieces, -1))
+    return listed.withColumns({f"{prefix}_found": F.transform(F.filter(f"{prefix}_all", lambda m: m.kind.isNotNull()), lambda m: F.struct(m.kind.alias("kind"), m.value.alias("value"), m.pseudonym.alias("pseudonym"))), f"{prefix}_text": F.when(F.size(f"{prefix}_all") == 0, text).otherwise(rebuilt)}).drop(f"{prefix}_all")
