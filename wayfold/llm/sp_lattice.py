@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
-from itertools import chain
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -19,32 +16,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import free_name
-from .store import materialise, small_batches
-from .words import WordIds, tidy
+from .store import discard, materialise, small_batches
+from .words import tidy
 
 SPACE = "▁"
-#: Units of at most so many characters go through the lattice; longer ones, whose lattice grows with the square of their length, are merged with a heap.
-UNIT_CHARS = 40
-#: Units at most whose ids are broadcast, the most frequent ones; the ids of the others are joined to the texts that hold them.
-BROADCAST_UNITS = 4_000_000
-#: Words and units that a task counts before it passes them on.
-REMEMBERED = 150_000
+#: Bytes at most of the table of units that is broadcast, the most frequent ones; the ids of the others are joined to the texts that hold them.
+BROADCAST_BYTES = 120_000_000
+#: Bytes of a unit in that table besides those of its ids, and of each id.
+UNIT_BYTES, ID_BYTES = 24, 4
+#: Units that a task counts before it passes them on, and bytes of text that it cuts at once.
+COUNTED, AT_ONCE = 400_000, 1_000_000
+#: Units whose lattices one task holds, and places of a unit that share a map of edges; more than a piece's characters.
+PART_UNITS, STARTS = 20_000, 32
+#: A rank that no piece has.
+NEVER = 1 << 30
 
 
-@dataclass(frozen=True)
+@dataclass
 class Cut:
-    """How texts fall into units; all that a task needs of a model whose units' ids it has."""
+    """How texts fall into units: between two characters that no piece holds one after the other."""
 
     prefix: bool
-    breaks: re.Pattern
-
-    def units(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return self.breaks.split((SPACE if self.prefix else "") + text.replace(" ", SPACE))
-
-    def of_word(self, word: str) -> list[str]:
-        return self.breaks.split(SPACE + word if self.prefix else word)
+    chars: np.ndarray  # code points that pieces of two or more characters hold, ascending
+    inner: np.ndarray  # whether a piece holds one such character after another
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        """By code point: 0, or 1 and the place in chars."""
+        out = np.zeros(0x110000, dtype=np.uint16)
+        out[self.chars] = np.arange(1, len(self.chars) + 1)
+        return out
+
+    @cached_property
+    def joined(self) -> np.ndarray:
+        out = np.zeros((len(self.chars) + 1,) * 2, dtype=bool)
+        out[1:, 1:] = self.inner
+        return out.ravel()
+
+    def __getstate__(self) -> dict:
+        return {"prefix": self.prefix, "chars": self.chars, "inner": self.inner}
+
+    def units(self, texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The units of all texts one after another, and where each text's begin; null texts have none."""
+        marked = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), " ", SPACE)
+        if self.prefix:
+            marked = pc.if_else(pc.equal(marked, ""), marked, pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), marked, pa.scalar("", pa.large_string())))
+        offsets = np.frombuffer(marked.buffers()[1], dtype=np.int64)[marked.offset : marked.offset + len(marked) + 1] if len(marked) else np.zeros(1, np.int64)
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        if lo == hi:
+            return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, dtype=np.int64)
+        data = marked.buffers()[2].slice(lo, hi - lo)
+        code = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), dtype=np.uint32)
+        width = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000)
+        at = np.cumsum(width, dtype=np.int64) - width
+        kind = self.number[code].astype(np.int32)
+        first = np.ones(len(code), dtype=bool)
+        first[1:] = ~self.joined[kind[:-1] * (len(self.chars) + 1) + kind[1:]]
+        texts_at = np.searchsorted(at, offsets - lo)
+        first[texts_at[:-1][np.diff(offsets) > 0]] = True
+        begins = np.append(at[first], hi - lo)
+        before = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])
+        return pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), data), before[texts_at]
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in runs of AT_ONCE bytes, or of one longer text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // AT_ONCE
+    ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(size)) if len(size) else []
+    at = 0
+    for e in ends:
+        yield texts.slice(at, int(e) - at)
+        at = int(e)
 
 
 @dataclass
@@ -52,7 +95,7 @@ class Pieces:
     """What a SentencePiece model file says: pieces, their ids and scores, and how it treats white space."""
 
     ids: dict[str, int]
-    rank: dict[str, int]  # by falling score, ties by id
+    rank: dict[str, int]  # a piece's number by falling score, ties by id
     score: dict[str, float]
     byte: list[int]  # ids of the 256 bytes; empty without byte fallback
     unknown: int
@@ -62,7 +105,7 @@ class Pieces:
     longest: int
 
     @staticmethod
-    def load(path: str) -> Pieces:
+    def load(path: str, unigram: bool | None = None) -> Pieces:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -75,120 +118,88 @@ class Pieces:
         raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else b"" for p in m.pieces]
         byte = {raw[i][0]: i for i, p in enumerate(m.pieces) if p.type == 6}
         raw[m.trainer_spec.unk_id] = " ⁇ ".encode()
-        return Pieces({p: i for p, (i, _) in plain.items()}, {p: k for k, p in enumerate(order)}, {p: s for p, (_, s) in plain.items()}, [byte[b] for b in range(256)] if len(byte) == 256 else [], m.trainer_spec.unk_id, raw, m.trainer_spec.model_type == 1, m.normalizer_spec.add_dummy_prefix, max(map(len, plain), default=1))
-
-    def breaks(self) -> re.Pattern:
-        """Where a text can be cut for certain: no piece holds the two characters there one after the other.
-
-        Tried are a space mark after another character, and any other mark after a letter.
-        """
-        inner = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
-        marks = [c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n\t" if not any(b == c and a.isalpha() for a, b in inner)]
-        rules = [f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(marks))}])"] if marks else []
-        if not any(b == SPACE != a for a, b in inner):
-            rules.append(f"(?<=[^{SPACE}])(?={SPACE})")
-        return re.compile("|".join(rules) or r"(?!)")
+        by_score = m.trainer_spec.model_type == 1 if unigram is None else unigram
+        return Pieces({p: i for p, (i, _) in plain.items()}, {p: k for k, p in enumerate(order)}, {p: s for p, (_, s) in plain.items()}, [byte[b] for b in range(256)] if len(byte) == 256 else [], m.trainer_spec.unk_id, raw, by_score, m.normalizer_spec.add_dummy_prefix, max(map(len, plain), default=1))
 
     def cut(self) -> Cut:
-        return Cut(self.prefix, self.breaks())
-
-    def unmerged(self, c: str) -> list[int]:
-        """The ids of a character that is no piece."""
-        return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
-
-    def merge(self, unit: str) -> list[int]:
-        """BPE of one unit with a heap, for units too long for the lattice: the best-ranked pair first, the leftmost of equal ones."""
-        part, right, left = list(unit), list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
-        heap: list[tuple[int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j < len(part) and (r := self.rank.get(part[i] + part[j])) is not None:
-                heapq.heappush(heap, (r, i, part[i] + part[j]))
-
-        for i in range(len(part) - 1):
-            offer(i)
-        while heap:
-            _, i, whole = heapq.heappop(heap)
-            j = right[i]
-            if not part[i] or j >= len(part) or part[i] + part[j] != whole:
+        pairs = {(ord(a), ord(b)) for p in self.ids for a, b in zip(p, p[1:])}
+        chars = np.array(sorted({c for ab in pairs for c in ab}), dtype=np.int64)
+        inner = np.zeros((len(chars), len(chars)), dtype=bool)
+        if pairs:
+            a, b = np.searchsorted(chars, np.array(sorted(pairs)).T)
+            inner[a, b] = True
+        return Cut(self.prefix, chars, inner)
+
+    @cached_property
+    def level(self) -> dict[str, tuple[int, int]]:
+        """The least and the greatest number of the pieces of equal score: merges of one level go from the left."""
+        ends: dict[float, list[int]] = {}
+        for s in sorted(self.rank, key=self.rank.get):
+            ends.setdefault(self.score[s], [self.rank[s]] * 2)[1] = self.rank[s]
+        return {s: tuple(ends[self.score[s]]) for s in self.rank}
+
+    @cached_property
+    def spines(self) -> dict[str, tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+        """For each piece of two or more characters that merges make, the prefixes and the suffixes that are symbols on the way, as (length, greatest number of a piece that is merged across their outer end before they are taken up)."""
+        out = {}
+        for piece in self.rank:
+            if len(piece) < 2:
                 continue
-            part[i], part[j] = whole, ""
-            right[i] = right[j]
-            if right[i] < len(part):
-                left[right[i]] = i
-            if left[i] >= 0:
-                offer(left[i])
-            offer(i)
-        return list(chain.from_iterable([self.ids[p]] if p in self.ids else self.unmerged(p) for p in part if p))
-
-    def best_path(self, unit: str) -> list[int]:
-        """The unigram path of greatest score, for units too long for the lattice; each choice as fold_best() makes it."""
-        low = min(self.score.values(), default=0.0) - 10
-        best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
-        for e in range(1, len(unit) + 1):
-            c = unit[e - 1]
-            ways = [(best[e - 1][0] + low, e - 1, self.unmerged(c))] if c not in self.ids else []
-            ways += [(best[s][0] + self.score[p], s, [self.ids[p]]) for s in range(max(0, e - self.longest), e) if (p := unit[s:e]) in self.ids]
-            best.append(max(ways, key=lambda x: (x[0], x[1])))
-        out, e = [], len(unit)
-        while e:
-            out.append(best[e][2])
-            e = best[e][1]
-        return list(chain.from_iterable(reversed(out)))
+            part = list(piece)
+            left, right = [], []
+            while len(part) > 1:
+                (lo, hi), i = min((self.level.get(a + b, (NEVER, NEVER)), k) for k, (a, b) in enumerate(zip(part, part[1:])))
+                if lo == NEVER:
+                    break
+                if any(len(x) > 1 and self.level[x][0] > lo for x in part[i : i + 2]):
+                    raise ValueError("a piece must not rank before the pieces that it is merged from")
+                if i == 0:
+                    left.append((len(part[0]), hi))  # a merge on the left goes before one of its level
+                if i == len(part) - 2:
+                    right.append((len(part[-1]), lo - 1))
+                part[i : i + 2] = [part[i] + part[i + 1]]
+            if len(part) == 1:
+                out[piece] = ([*left, (len(piece), NEVER)], [*right, (len(piece), NEVER)])
+        return out
 
 
 @cache
-def pieces_of(path: str) -> Pieces:
-    return Pieces.load(path)
-
+def pieces_of(path: str, unigram: bool | None = None) -> Pieces:
+    return Pieces.load(path, unigram)
 
-def plain(text: str) -> bool:
-    """Whether each space of the text begins a word, so that all words can be told by text.split(" ")."""
-    return "  " not in text and SPACE not in text and text[0] != " "
 
-
-def count_units(docs: DataFrame, cut: Cut, text_col: str) -> DataFrame:
+def count_units(texts: DataFrame, cut: Cut) -> DataFrame:
     """(unit, n): how often each unit occurs in all texts; counted in each task before the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        seen: Counter = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for w, n in words.items():
-                for u in cut.of_word(w):
-                    seen[u] += n
-            words.clear()
-            keys = list(seen)
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), pa.array([seen[k] for k in keys[i : i + 50_000]], pa.int64())], names=["unit", "n"])
-            seen.clear()
-
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                for t in b.column(0)[i : i + 64].to_pylist():
-                    if t and not (cut.prefix and plain(t)):
-                        seen.update(cut.units(t))
-                    elif t:
-                        words.update(t.split(" "))
-                if len(seen) + len(words) > REMEMBERED:
-                    yield from out()
-        yield from out()
-        tidy()
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+        held: list[pa.Table] = []
+        rows = 0
 
+        def total() -> pa.Table:
+            t = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")])
+            return t.select(["unit", "n_sum"]).rename_columns(["unit", "n"])
 
-#: Units whose lattices one task holds.
-PART_UNITS = 20_000
-#: A packed edge is rank * 2^20 + id, a packed pair of symbols rank * 2^8 + the place where the first begins.
-ID, AT = 1 << 20, 1 << 8
-NO_PAIR = 1 << 60
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in t.cast(pa.schema([("unit", pa.string()), ("n", pa.int64())])).to_batches(20_000):
+                yield b
 
+        for b in batches:
+            for some in slices(b.column(0)):
+                found = cut.units(some)[0].value_counts()
+                held.append(pa.Table.from_arrays([found.field(0), found.field(1)], names=["unit", "n"]))
+                rows += len(found)
+                if rows > 2 * COUNTED:
+                    held[:] = [total()]
+                    rows = held[0].num_rows
+                    if rows > COUNTED:
+                        yield from out(held.pop())
+                        rows = 0
+        if held:
+            yield from out(total())
+        held.clear()
+        tidy()
 
-def _key(start: Column, end: Column) -> Column:
-    return start * (UNIT_CHARS + 1) + end
+    return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -196,205 +207,291 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def fold_merges(n: Column, edges: Column) -> Column:
-    """BPE as a fold over a unit's symbols, given by their bounds 0..n and by the packed rank of each two that follow one another.
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b)).cast("int")
+
+
+class Lattice:
+    """Columns over a unit's edges, in maps of (edge -> what the piece table says) for each STARTS ends, with the edges of the STARTS ends before.
 
-    Each step merges the best-ranked pair, leftmost of equal ones: its inner bound goes, and the
-    pairs before and after it are looked up anew.
+    An edge is known by end * (2 longest + 1) + 2 longest - length, so that in order those of one
+    end follow one another, long ones first, and two pieces' length together is told apart. A token is its length + (longest + 1) * (id + 1), where one
+    character has no id yet.
     """
 
-    def pair(start: Column, end: Column) -> Column:
-        return F.coalesce(F.call_function("div", edges[_key(start, end)], F.lit(ID)) * AT + start, F.lit(NO_PAIR).cast("long"))
+    def __init__(self, p: Pieces, maps: Column, n: Column) -> None:
+        self.p, self.maps, self.n, self.base = p, maps, n, p.longest + 1
+        self.two = 2 * p.longest
 
-    def merged(acc: Column, i: Column) -> Column:
-        bounds, pairs, size = acc.bounds, acc.pairs, F.size(acc.bounds)
-        before = F.when(i > 1, F.array(pair(F.get(bounds, i - 2), F.get(bounds, i + 1)))).otherwise(F.lit([]).cast("array<bigint>"))
-        after = F.when(i + 2 < size, F.array(pair(F.get(bounds, i - 1), F.get(bounds, i + 2)))).otherwise(F.lit([]).cast("array<bigint>"))
-        return F.struct(
-            F.concat(F.slice(bounds, 1, i), F.slice(bounds, i + 2, size)).alias("bounds"),
-            F.concat(F.slice(pairs, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(pairs, i + 2, size)).alias("pairs"),
-        )
+    def key(self, end: Column, length: Column | int) -> Column:
+        return end * (self.two + 1) + self.two - length
 
-    def step(acc: Column, _: Column) -> Column:
-        best = F.array_min(acc.pairs)
-        return F.when(best < NO_PAIR, _let(F.array_position(acc.bounds, (best % AT).cast("int")).cast("int"), lambda i: merged(acc, i))).otherwise(acc)
+    def edges(self, m: Column) -> Column:
+        """The edges of m's own ends and of over one character, in order: their end, start, symbols on the way and token."""
 
-    every = F.sequence(F.lit(0), n)
-    start = F.struct(every.alias("bounds"), F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda s: pair(s, s + 2))).otherwise(F.lit([]).cast("array<bigint>")).alias("pairs"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda acc: acc.bounds)
+        def told(x: Column) -> Column:
+            end, length = _div(x.key, self.two + 1), self.two - x.key % (self.two + 1)
+            return F.struct(end.alias("end"), (end - length).alias("at"), (length + self.base * (x.value.id + 1)).alias("token"), x.value.begins.alias("begins"))
 
+        own = F.filter(F.map_entries(m.edges), lambda x: (x.key >= (m.w * STARTS + 1) * (self.two + 1)) & (x.key % (self.two + 1) != self.two - 1))
+        return F.transform(F.array_sort(own, lambda a, b: a.key - b.key), told)
 
-def fold_best(n: Column, edges: Column, scores: Column, single: Column, longest: int, low: float) -> Column:
-    """Viterbi as a fold over ends: the best score so far and the start of its last edge; then the bounds of the best path."""
+    def path(self, best: Column) -> Column:
+        """The tokens from the last one before each end back to the start, in order; ends beyond `best` follow one character."""
 
-    def step(acc: Column, e: Column) -> Column:
-        def way(s: Column) -> Column:
-            score = F.when(e - s > 1, F.get(scores, F.call_function("div", edges[_key(s, e)], F.lit(ID)).cast("int"))).otherwise(F.coalesce(F.get(single, F.ascii(F.col("unit").substr(s + 1, F.lit(1)))), F.lit(low)))
-            return F.struct((F.get(acc, s).score + score).alias("score"), s.alias("start"))
+        def back(acc: Column, _: Column) -> Column:
+            return F.when(acc.at > 0, _let(F.coalesce(F.get(best, acc.at), F.lit(1)), lambda t: F.struct((acc.at - t % self.base).cast("int").alias("at"), F.concat(acc.out, F.array(t)).alias("out")))).otherwise(acc)
 
-        ways = F.filter(F.transform(F.sequence(F.greatest(e - longest, F.lit(0)), e - 1), way), lambda x: x.score.isNotNull())
-        return F.concat(acc, F.array(F.array_max(ways)))
+        start = F.struct(self.n.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.reverse(F.aggregate(F.sequence(F.lit(1), self.n), start, back, lambda acc: acc.out))
 
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start")))
-    best = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    walk = F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda acc, _: F.when(F.get(acc, 0) > 0, F.concat(F.array(F.get(best, F.get(acc, 0)).start), acc)).otherwise(acc))
-    return walk
+    def merges(self) -> Column:
+        """The last token before each end, as BPE gives it: Viterbi with one survivor an end.
 
+        The BPE tokens of a text are the one path on which any two neighbours alone would be merged
+        to themselves. So the last token before an end is that edge whose left neighbour, the last
+        token before its start, goes with it: no symbol that ends the neighbour and one that begins
+        the edge would have been merged before both are taken up by greater ones (of one level the
+        left merge is first). Where no longer edge fits, it is one character.
+        """
+        one = F.array(F.struct(F.lit(1).alias("k"), F.lit(NEVER).alias("r")))
 
-def _constant(values: list, kind: str) -> Column:
-    """An array as one folded literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+        def apart(m: Column, before: Column, edge: Column) -> Column:
+            """Whether no symbols of the token before the edge and of the edge merge across its start."""
+            ends = F.when(before < self.base, one).otherwise(m.edges[self.key(edge.at, before % self.base)].ends)
+            middle = self.key(edge.at, 0)  # the edge from at - x to at + y is known by this + y * 2 longest - x
+            crossed = F.exists(ends, lambda x: _let(middle - x.k, lambda k: F.exists(edge.begins, lambda y: m.edges[k + y.k * self.two].number <= F.least(x.r, y.r))))
+            return F.coalesce(~crossed, F.lit(True))
 
+        def step(m: Column, acc: Column, edge: Column) -> Column:
+            fits = (F.size(acc) <= edge.end) & ((edge.at == 0) | apart(m, F.coalesce(F.get(acc, edge.at), F.lit(1)), edge))
+            return F.when(fits, F.concat(acc, F.array_repeat(F.lit(1), edge.end - F.size(acc)), F.array(edge.token))).otherwise(acc)
 
-def lattice(units: DataFrame, p: Pieces) -> DataFrame:
-    """(unit, n, ids) of the units of up to UNIT_CHARS characters.
+        return F.aggregate(self.maps, F.array(F.lit(0)), lambda acc, m: F.aggregate(self.edges(m), acc, lambda inner, edge: step(m, inner, edge)))
 
-    Each unit's substrings of up to the longest piece's length are exploded and equi-joined to the
-    piece table, whose size the vocabulary bounds. The edges that are found are grouped by unit, by
-    which the rows are already dealt out, and folded.
-    """
-    spark = units.sparkSession
-    table = spark.createDataFrame([(s, p.rank[s] * ID + i) for s, i in p.ids.items()], "piece string, packed long")
-    length = F.length("unit")
-    starts = units.where(length.between(1, UNIT_CHARS)).select("unit", "n", F.explode(F.sequence(F.lit(0), length - 1)).alias("s"))
-    # of edges of one character only the first is kept, so that no unit is lost
-    from_ = F.when(F.col("s") == 0, 1).otherwise(F.least(F.col("s") + 2, length))
-    spans = starts.select("unit", "n", "s", F.explode(F.sequence(from_, F.least(F.col("s") + max(2, p.longest), length))).alias("e")).where("s = 0 or e > s + 1")
-    found = spans.withColumn("piece", F.col("unit").substr(F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(table), "piece", "left").where("e = 1 or packed is not null")
-    grouped = found.groupBy("unit", "n").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("s"), F.col("e")), "packed"))).alias("edges"))
-    edge = F.col("edges")
-    low = min(p.score.values(), default=0.0) - 10
-    ones = [p.score.get(chr(c), low) for c in range(1 + max((ord(x) for x in p.ids if len(x) == 1), default=0))]
-    bounds = fold_best(length, edge, _constant([p.score[s] for s in sorted(p.rank, key=p.rank.get)], "double"), _constant(ones, "double"), p.longest, low) if p.unigram else fold_merges(length, edge)
-    folded = grouped.withColumn("bounds", bounds)
-
-    single = _constant([p.ids.get(chr(c), -1) for c in range(1 + max((ord(x) for x in p.ids if len(x) == 1), default=0))], "int")
-
-    def ids(s: Column, i: Column) -> Column:
-        e = F.get("bounds", i + 1)
-        known = F.when(e - s > 1, (edge[_key(s, e)] % ID).cast("int")).otherwise(F.nullif(F.get(single, F.ascii(F.col("unit").substr(s + 1, F.lit(1)))), F.lit(-1)))
-        code = F.hex(F.encode(F.col("unit").substr(s + 1, e - s), "UTF-8"))
-        if p.byte:
-            byte = F.array(*map(F.lit, p.byte))
-            bare = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda k: F.get(byte, F.conv(code.substr(2 * k - 1, F.lit(2)), 16, 10).cast("int")))
-        else:
-            bare = F.array(F.lit(p.unknown))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(bare)
-
-    return folded.select("unit", "n", F.flatten(F.transform(F.slice("bounds", 1, F.size("bounds") - 1), ids)).alias("ids"))
-
-
-def unit_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(unit, n, ids) of all units of all texts, written to the shared folder."""
-    p = pieces_of(path)
-    units = materialise(count_units(docs, p.cut(), text_col), "counted")
-    # by number, for small rows become many: a part is not to grow with the table
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.count() // PART_UNITS + 1)
-    short = lattice(units.repartition(parts, "unit"), p)
+    def best(self) -> Column:
+        """The last token before each end on the way of greatest score: Viterbi over a unigram model's scores."""
+        low = min(self.p.score.values(), default=0.0) - 10
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = pieces_of(path)
-        for b in batches:
-            ids = [(q.best_path if q.unigram else q.merge)(u) for u in b.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+        def step(acc: Column, e: Column) -> Column:
+            edges = F.get(self.maps, _div(e - 1, STARTS)).edges
 
-    long = units.where(F.length("unit") > UNIT_CHARS).mapInArrow(run, "unit string, n long, ids array<int>")
-    return materialise(short.unionByName(long), "units")
+            def way(k: Column) -> Column:
+                x = edges[self.key(e, k)]
+                score = F.when(k > 1, x.score).otherwise(F.coalesce(x.score, F.lit(low)))
+                return F.struct((F.get(acc, e - k).score + score).alias("score"), (-k).alias("k"), F.when(k > 1, k + self.base * (x.id + 1)).otherwise(F.lit(1)).alias("token"))
 
+            ways = F.filter(F.transform(F.sequence(F.lit(1), F.least(e, F.lit(self.p.longest))), way), lambda x: x.score.isNotNull())
+            return F.concat(acc, F.array(F.array_max(ways)))
 
-def _digest(unit: str) -> int:
-    """As Spark's xxhash64, but unsigned."""
-    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), 42)
+        first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("k"), F.lit(0).alias("token")))
+        return F.aggregate(F.sequence(F.lit(1), self.n), first, step, lambda acc: F.transform(acc, lambda x: x.token))
 
+    def ids(self, tokens: Column) -> Column:
+        """The ids of tokens; a character that is no piece has those of its bytes."""
+        latin = F.split(F.lit(",".join(str(self.p.ids.get(chr(c), -1)) for c in range(self.few()))), ",").cast("array<int>")
 
-class Ids(WordIds):
-    """Ids of words, from a table of the ids of units that is sorted by hash. `missing` gathers units that the table lacks."""
+        def one(at: Column) -> Column:
+            char = F.col("unit").substr(at + 1, F.lit(1))
+            if self.p.byte:
+                code, byte = F.hex(F.encode(char, "UTF-8")), F.array(*map(F.lit, self.p.byte))
+                bare = F.transform(F.sequence(F.lit(1), _div(F.length(code), 2)), lambda k: F.get(byte, F.conv(code.substr(2 * k - 1, F.lit(2)), 16, 10).cast("int")))
+            else:
+                bare = F.array(F.lit(self.p.unknown))
+            far = F.coalesce(F.get(self.maps, _div(at, STARTS)).edges[self.key(at + 1, 1)].id, F.lit(-1))
+            known = F.when(F.ascii(char) < self.few(), F.get(latin, F.ascii(char))).otherwise(far) if self.few() else far
+            return _let(known, lambda i: F.when(i >= 0, F.array(i)).otherwise(bare))
 
-    #: As plain() says, for a whole column.
-    odd, share = f"  |^ |{SPACE}", 0.1  # a word is found again in the table quickly
+        def step(acc: Column, t: Column) -> Column:
+            own = F.when(t > self.base, F.array(_div(t, self.base) - 1)).otherwise(one(acc.at))
+            return F.struct((acc.at + t % self.base).cast("int").alias("at"), F.concat(acc.ids, own).alias("ids"))
 
-    def __init__(self, table: dict[str, Broadcast], cut: Cut) -> None:
-        super().__init__()
-        # one after another, so that no more than one is in memory twice while it is read
-        self.hash, self.starts, self.flat = (table[k].value for k in ("hash", "at", "flat"))
-        self.how = cut
-        self.rare: dict[str, list[int]] = {}
+        return F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids")), step, lambda acc: acc.ids)
+
+    def few(self) -> int:
+        """Characters of code points under this are no edges: a short list says their ids, and BPE never asks for their scores."""
+        return 0 if self.p.unigram else 592
 
-    def find(self, units: list[str]) -> np.ndarray:
-        """The place of each unit in the table, -1 if it is not there."""
-        h = np.fromiter(map(_digest, units), dtype=np.uint64, count=len(units))
-        if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, at, -1)
 
-    def head(self, word: str) -> str | tuple[str]:
-        return word if word and self.how.prefix else (word,)
+def piece_table(units: DataFrame, p: Pieces) -> DataFrame:
+    """(piece, x): id, number, score and the symbols on the way of each piece, as many rows as the vocabulary has."""
+    rows = []
+    for s, number in p.rank.items():
+        if p.unigram or len(s) == 1:
+            rows.append((s, (p.ids[s], number, p.score[s], [], [])))
+        elif s in p.spines:
+            rows.append((s, (p.ids[s], number, p.score[s], *p.spines[s])))
+    return units.sparkSession.createDataFrame(rows, "piece string, x struct<id:int,number:int,score:double,begins:array<struct<k:int,r:int>>,ends:array<struct<k:int,r:int>>>")
+
+
+def lattice(units: DataFrame, p: Pieces) -> DataFrame:
+    """(unit, n, ids) of units (uid, unit, n); rows of a uid are to be in one partition.
+
+    Each unit's substrings of up to the longest piece's length are exploded and equi-joined to the
+    piece table, whose size the vocabulary bounds. The edges that are found are grouped by unit and
+    folded. A unit is looked at through windows of STARTS places, so that a long one costs as much a
+    character as a short one. Empty units give no row.
+    """
+    length = F.length("unit")
+    views = units.where(length > 0).select("uid", "unit", "n", _div(length - 1, STARTS).alias("last"), F.explode(F.sequence(F.lit(0), _div(length - 1, STARTS))).alias("w"))
+    views = views.withColumn("part", F.col("unit").substr(F.col("w") * STARTS + 1, F.lit(STARTS + p.longest - 1)))
+    starts = views.withColumn("s", F.explode(F.sequence(F.lit(0), F.least(F.lit(STARTS), F.length("part")) - 1)))
+    way = Lattice(p, F.col("m"), length)
+    # the row of length 1 at the first place keeps a window's place, and in the first one the unit
+    far = F.ascii(F.col("part").substr(F.col("s") + 1, F.lit(1))) >= way.few()
+    least = F.when((F.col("s") == 0) | far, 1).otherwise(2)
+    spans = starts.withColumn("k", F.explode(F.sequence(least, F.greatest(F.least(F.lit(p.longest), F.length("part") - F.col("s")), least))))
+    first = (F.col("s") == 0) & (F.col("k") == 1)
+    spans = spans.select("uid", "w", (F.col("w") * STARTS + F.col("s") + F.col("k")).alias("e"), "k", F.when(first & (F.col("w") == 0), F.struct("unit", "n")).alias("u"), "last", first.alias("first"), F.col("part").substr(F.col("s") + 1, F.col("k")).alias("piece"))
+    found = spans.join(F.broadcast(piece_table(units, p)), "piece", "left").where("first or x is not null")
+    own = F.when(F.col("first"), F.col("w")).otherwise(_div(F.col("e") - 1, STARTS))
+    found = found.withColumn("w", F.explode(F.when(own >= F.col("last"), F.array(own)).otherwise(F.array(own, own + 1))))
+    entry = F.when(F.col("x").isNotNull(), F.struct(way.key(F.col("e"), F.col("k")).alias("key"), "x"))
+    maps = found.groupBy("uid", "w").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"), F.max("u").alias("u"))
+    whole = maps.groupBy("uid").agg(F.collect_list(F.struct("w", "edges")).alias("m"), F.max("u").alias("u")).select("u.unit", "u.n", F.array_sort("m", lambda a, b: a.w - b.w).alias("m"))
+    # bound once each: an inlined fold would be done again for every step of the next
+    ids = _let(way.best() if p.unigram else way.merges(), lambda best: _let(way.path(best), way.ids))
+    return whole.select("unit", "n", ids.alias("ids"))
+
+
+def unit_table(texts: DataFrame, p: Pieces) -> DataFrame:
+    """(unit, n, ids) of all units of all texts, written to the shared folder."""
+    spark = texts.sparkSession
+    counted = materialise(count_units(texts, p.cut()).withColumn("uid", F.monotonically_increasing_id()), "counted")
+    # by number, for small rows become many: a part is not to grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.count() // PART_UNITS + 1)
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(3 * PART_UNITS))  # a task's units are few enough to be grouped by hash
+    try:
+        table = materialise(lattice(counted.repartition(parts, "uid"), p), "units")
+    finally:
+        spark.conf.set(key, before)
+    discard(counted)
+    return table
 
-    def cut(self, text: str) -> list:
-        return [(u,) for u in self.how.units(text)]
 
-    def learn(self, keys: list) -> list[list[int]]:
-        cut = [self.how.breaks.split(k[0] if type(k) is tuple else SPACE + k) if k != ("",) else [] for k in keys]
-        at = iter(self.find(list(chain.from_iterable(cut))).tolist())
-        return [list(chain.from_iterable(self.flat[self.starts[a] : self.starts[a + 1]].tolist() if (a := next(at)) >= 0 else self.rare[u] for u in units)) for units in cut]
+#: The seeds of the two hashes by which a unit is known in the broadcast table: 128 bits together.
+SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42))
 
 
-_LOADED: dict[str, Ids] = {}
+def _hashes(unit: str) -> list[Column]:
+    """As XXH64 with each of SEEDS: Spark chains the hash of several columns by seeds."""
+    return [F.xxhash64(unit), F.xxhash64(F.lit(1), unit)]
 
 
-def _load(key: str, table: dict[str, Broadcast], cut: Cut) -> Ids:
+def _packed(table: DataFrame) -> dict[str, np.ndarray]:
+    """The units' hashes in order, where each one's ids begin, and all ids; packed by the executors, so that the driver gets plain bytes of a bounded number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("ids")
+            size, flat = np.diff(lists.offsets.to_numpy()).astype(np.uint32), lists.flatten().to_numpy().astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.column("h").to_numpy(), b.column("g").to_numpy(), size, flat)], names=["h", "g", "size", "flat"])
+
+    h, g = _hashes("unit")
+    got: dict[str, list] = {"h": [], "g": [], "size": [], "flat": []}
+    for row in table.select(h.alias("h"), g.alias("g"), "ids").mapInArrow(run, "h binary, g binary, size binary, flat binary").toLocalIterator():
+        for k, kind in (("h", np.uint64), ("g", np.uint64), ("size", np.uint32), ("flat", np.uint32)):
+            got[k].append(np.frombuffer(bytes(row[k]), dtype=kind))
+    h, g, size, flat = (np.concatenate([np.zeros(0, dtype=kind), *got.pop(k)]) for k, kind in (("h", np.uint64), ("g", np.uint64), ("size", np.uint32), ("flat", np.uint32)))
+    order = np.lexsort((g, h))
+    begins = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    flat = _runs(flat, begins[:-1][order], size[order].astype(np.int64))
+    return {"h": h[order], "g": g[order], "at": np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)]).astype(np.uint32), "flat": flat}
+
+
+def _runs(values: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of values that begin there, one after another."""
+    ends = np.cumsum(size)
+    return values[np.repeat(begins - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class UnitIds:
+    """Ids of texts, from the broadcast table of the units' ids."""
+
+    def __init__(self, table: dict[str, np.ndarray], cut: Cut) -> None:
+        self.h, self.g, self.at, self.flat = (table[k] for k in ("h", "g", "at", "flat"))
+        self.cut = cut
+        same = self.h[1:] == self.h[:-1]
+        self.twins = int(same.sum())  # steps that reach any of the units of one first hash
+
+    def find(self, units: list[bytes]) -> np.ndarray:
+        """The place of each unit in the table, -1 if it is not there."""
+        h, g = (np.fromiter((xxhash.xxh64_intdigest(u, s) for u in units), dtype=np.uint64, count=len(units)) for s in SEEDS)
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        for _ in range(self.twins):
+            after = np.minimum(at + 1, len(self.h) - 1)
+            at = np.where((self.h[at] == h) & (self.g[at] != g) & (self.h[after] == h), after, at)
+        return np.where((self.h[at] == h) & (self.g[at] == g), at, -1)
+
+    def encode(self, texts: pa.Array, rare: dict[bytes, list[int]]) -> pa.ListArray:
+        """The ids of each text; rare has those of units that the table lacks."""
+        units, reach = self.cut.units(texts)
+        told = units.dictionary_encode()
+        keys = told.dictionary.cast(pa.large_binary()).to_pylist()
+        at = self.find(keys)
+        there = np.maximum(at, 0)
+        size = np.where(at >= 0, self.at[there + 1].astype(np.int64) - self.at[there], 0) if len(self.h) else np.zeros(len(at), dtype=np.int64)
+        flat = _runs(self.flat, self.at[there].astype(np.int64), size) if len(self.h) else np.zeros(0, dtype=np.uint32)
+        begins = np.cumsum(size) - size
+        if (lacking := np.flatnonzero(at < 0)).size:
+            lists = [rare[keys[i]] for i in lacking.tolist()]
+            size[lacking] = [len(x) for x in lists]
+            begins[lacking] = len(flat) + np.cumsum(size[lacking]) - size[lacking]
+            flat = np.concatenate([flat, np.array([i for x in lists for i in x], dtype=np.uint32)])
+        n = told.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[n])])
+        return pa.ListArray.from_arrays(pa.array(ends[reach], pa.int32()), pa.array(_runs(flat, begins[n], size[n]).astype(np.int32)))
+
+
+_LOADED: dict[str, UnitIds] = {}
+
+
+def _load(key: str, table: Broadcast, cut: Cut) -> UnitIds:
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Ids(table, cut)
+        _LOADED[key] = UnitIds(table.value, cut)
         tidy()
     return _LOADED[key]
 
 
-def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
-    """The hashes of the units in order, where each one's ids begin, and all ids. (Of 4 million units two share 64 bits with a chance of 1 in 2 million.)"""
-    t = table.select(F.xxhash64("unit").alias("h"), "ids").orderBy(F.col("h") < 0, "h").toArrow()
-    # chunk by chunk into narrow arrays, so that the driver never holds the wide table twice
-    h = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in t.column("h").chunks)]).view(np.uint64)
-    size = np.concatenate([np.zeros(1, np.int32), *(np.diff(c.offsets.to_numpy()) for c in t.column("ids").chunks)])
-    most = max((c.flatten().to_numpy().max(initial=0) for c in t.column("ids").chunks), default=0)
-    kind = np.uint16 if most < 1 << 16 else np.uint32
-    flat = np.concatenate([np.zeros(0, kind), *(c.flatten().to_numpy().astype(kind) for c in t.column("ids").chunks)])
-    del t
-    tidy()
-    return {"hash": h, "at": np.cumsum(size, dtype=np.int32), "flat": flat}
+def least_count(table: DataFrame, limit: int) -> int:
+    """Units that occur so often have a place in the broadcast table: the most frequent ones, as far as `limit` bytes reach."""
+    cost = F.sum(F.lit(UNIT_BYTES) + ID_BYTES * F.size("ids"))
+    total = 0
+    for n, size in table.groupBy("n").agg(cost).orderBy(F.desc("n")).toLocalIterator():
+        total += size
+        if total > limit:
+            return n + 1
+    return 0
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piece_ids", limit: int = BROADCAST_UNITS) -> tuple[DataFrame, str]:
+def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piece_ids", limit: int = BROADCAST_BYTES, unigram: bool | None = None) -> tuple[DataFrame, str]:
     """(docs plus an array<int> column of ids, that column's name, with underscores if docs has it).
 
-    The ids are those that the model's own library gives. Units (see Pieces.breaks) are encoded
-    once each, by unit_table(). The ids of the `limit` most frequent ones are broadcast; a text's
-    other units get theirs by a join by unit, grouped by the text's hash and joined to the text.
-    Null and empty texts have no ids. No rows give no rows.
+    The ids are those that the model's own library gives. Units (see Cut) are encoded once each, by
+    unit_table(). The ids of the most frequent ones, as far as `limit` bytes reach, are broadcast; a
+    text's other units get theirs by a join by unit, grouped by the text's hash and joined to the
+    text. Null and empty texts have no ids; bytes that are no UTF-8 count as U+FFFD. Repeated rows
+    and other columns of any name stay. No rows give no rows. With unigram, a model's pieces and
+    scores are taken as a unigram model's, whatever it is.
     """
     spark, columns = docs.sparkSession, docs.columns
     small_batches(spark, 1000)
     name = free_name(docs, name)
-    table = unit_table(docs, path, text_col)
-    least = 0
-    total = 0
-    for n, units in table.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        if total + units > limit:
-            least = n + 1
-            break
-        total += units
-    arrays = _arrays(table.where(F.col("n") >= least))
-    sent = {k: spark.sparkContext.broadcast(arrays.pop(k)) for k in list(arrays)}
+    p = pieces_of(path, unigram)
+    cut = p.cut()
+    text = F.call_function("make_valid_utf8", F.col(text_col).cast("string"))
+    table = unit_table(docs.select(text.alias("text")), p)
+    least = least_count(table, limit)
+    sent = spark.sparkContext.broadcast(_packed(table.where(F.col("n") >= least)))
     tidy()
-    cut = pieces_of(path).cut()
     key = f"{table._wayfold_path}#{least}"
     rare_col, text_at, h = free_name(docs, "rare_units"), free_name(docs, "piece_text"), free_name(docs, "text_hash")
-    text = F.col(text_col).cast("string")
-    if isinstance(docs.schema[text_col].dataType, T.StringType):
-        text_at, ready = text_col, docs
-    else:
-        ready = docs.withColumn(text_at, text)
+    ready = docs.withColumn(text_at, text)
     if least:
         hashed = docs.where(text.isNotNull()).select(F.unhex(F.sha2(text, 256)).alias("h"), text.alias("text"))
 
@@ -402,31 +499,28 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
             known = _load(key, sent, cut)
             for b in batches:
                 rows: tuple[list, list] = ([], [])
-                for hash_, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    units = list(dict.fromkeys(cut.units(t)))
-                    rare = [u for u, at in zip(units, known.find(units).tolist(), strict=True) if at < 0]
+                for hash_, t in zip(b.column("h").to_pylist(), b.column("text"), strict=True):
+                    units = known.cut.units(pa.array([t]))[0].unique()
+                    rare = units.filter(pa.array(known.find(units.cast(pa.large_binary()).to_pylist()) < 0))
                     rows[0].extend([hash_] * len(rare))
-                    rows[1].extend(rare)
+                    rows[1].extend(rare.to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.string())], names=["h", "unit"])
+            tidy()
 
         rare = hashed.mapInArrow(missing, "h binary, unit string").distinct().join(table.where(F.col("n") < least).select("unit", "ids"), "unit")
         by_text = rare.groupBy("h").agg(F.collect_list(F.struct("unit", "ids")).alias(rare_col)).withColumnRenamed("h", h)
-        ready = ready.join(by_text, F.unhex(F.sha2(text, 256)) == F.col(h), "left").drop(h)
+        ready = ready.join(by_text, F.unhex(F.sha2(text_at, 256)) == F.col(h), "left").drop(h)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _load(key, sent, cut)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                if least:
-                    known.rare = {x["unit"]: x["ids"] for more in b.column(rare_col).to_pylist() for x in more or ()}
-                kept = [c for k, c in zip(b.schema.names, b.columns, strict=True) if k in columns]
-                at = 0
-                for flat, n in known.encode(b.column(text_at)):
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(n)) for c in kept), ids], names=[*columns, name])
-                    at += len(n)
-            tidy()
+        for b in batches:
+            rare = {x["unit"].encode(): x["ids"] for more in b.column(rare_col).to_pylist() for x in more or ()} if least else {}
+            kept = [c for k, c in zip(b.schema.names, b.columns, strict=True) if k in columns]
+            at = 0
+            for some in slices(b.column(text_at)):
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in kept), known.encode(some, rare)], names=[*columns, name])
+                at += len(some)
+        tidy()
 
     return ready.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])), name
 
@@ -435,6 +529,6 @@ def decode(df: DataFrame, path: str, ids_col: str, name: str = "decoded") -> tup
     """(df plus the text of each row's ids, that column's name): pieces one after another, bytes that are no UTF-8 as U+FFFD, without the space that encoding puts first. Null ids give null."""
     p = pieces_of(path)
     name = free_name(df, name)
-    codes = _constant([x.hex() for x in p.raw], "string")
+    codes = F.split(F.lit(",".join(x.hex() for x in p.raw)), ",")
     text = F.call_function("make_valid_utf8", F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(codes, i)), "")).cast("string"))
     return df.withColumn(name, F.when(text.startswith(" "), F.substring(text, 2, 2_000_000_000)).otherwise(text) if p.prefix else text), name
