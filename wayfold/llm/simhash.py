@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, cap: int =
     return prints.join(to, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Ids to drop up to this number are broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Ids to drop, and shared shingles, up to these numbers are broadcast; beyond them the join shuffles.
+BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
 #: Texts that tell which shingles are common, and the number of them from which a shingle is.
 SAMPLE, COMMON = 4000, 8
 #: Texts with their shingles compared within one task's group, and rounds in which a text goes to one key only.
@@ -442,8 +442,10 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     joined by then are settled. All the rest are compared at last.
     """
     keys = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    rows = keys.join(shared, "key").join(nodes.select("node", "size", "sig"), "node").withColumn("comp", F.col("node"))
+    shared = materialise(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
+    # few of all keys as a rule: then the others leave before they are shuffled
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
+    rows = keys.join(shared, "key").join(nodes.select("node", "size", "sig").dropDuplicates(["node"]), "node").withColumn("comp", F.col("node"))
     found = materialise(may_link(rows, similarity), "candidates")
     wanted = materialise(found.select("node").union(found.where("other is not null").select("other")).distinct(), "wanted")
     n, sets = wanted.count(), materialise(sets_of(wanted), "shingles")
@@ -479,14 +481,17 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     prints = materialise(prefixes(rows, words, similarity), "prefixes")
-    nodes = materialise(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "sig", "prefix"))), "nodes")
+    nodes = materialise(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    few = nodes.count() <= BROADCAST_IDS
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id"))
+        ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id")).distinct()
         texts = rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         return shingle_sets(texts, words).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
-    roots = similar_components(nodes, sets_of, similarity, cap).withColumnRenamed("node", "of")
+    first = nodes.select("node", F.col("least").alias("doc_id"))
+    sets = prints.join(F.broadcast(first) if few else first, ["node", "doc_id"], "left_semi")
+    roots = similar_components(sets, sets_of, similarity, cap).withColumnRenamed("node", "of")
     of = nodes.join(roots, nodes.node == roots.of, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     to = materialise(of.join(of.groupBy("root").agg(F.min("least").alias("kept")), "root").select("node", "kept"), "kept")
     gone = materialise(prints.join(to, "node").where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
