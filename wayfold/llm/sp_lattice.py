@@ -23,13 +23,13 @@ SPACE = "▁"
 #: Bytes at most of the table of units that is broadcast, the most frequent ones; the ids of the others are joined to the texts that hold them.
 BROADCAST_BYTES = 120_000_000
 #: Bytes of a unit in that table besides those of its ids, and of each id.
-UNIT_BYTES, ID_BYTES = 24, 4
+UNIT_BYTES, ID_BYTES = 16, 4
 #: Units that a task counts before it passes them on, and bytes of text that it cuts at once.
 COUNTED, AT_ONCE = 400_000, 1_000_000
 #: Units whose lattices one task holds, and places of a unit that share a map of edges; more than a piece's characters.
 PART_UNITS, STARTS = 20_000, 32
-#: A rank that no piece has.
-NEVER = 1 << 30
+#: A number that no piece has. A symbol on a piece's way is packed as number * WAY + length.
+NEVER, WAY = 1 << 24, 64
 
 
 @dataclass
@@ -229,12 +229,12 @@ class Lattice:
     def edges(self, m: Column) -> Column:
         """The edges of m's own ends and of over one character, in order: their end, start, symbols on the way and token."""
 
-        def told(x: Column) -> Column:
-            end, length = _div(x.key, self.two + 1), self.two - x.key % (self.two + 1)
-            return F.struct(end.alias("end"), (end - length).alias("at"), (length + self.base * (x.value.id + 1)).alias("token"), x.value.begins.alias("begins"))
+        def told(key: Column) -> Column:
+            end, length = _div(key, self.two + 1), self.two - key % (self.two + 1)
+            return _let(m.edges[key], lambda x: F.struct(end.alias("end"), (end - length).alias("at"), (length + self.base * (x.id + 1)).alias("token"), x.begins.alias("begins")))
 
-        own = F.filter(F.map_entries(m.edges), lambda x: (x.key >= (m.w * STARTS + 1) * (self.two + 1)) & (x.key % (self.two + 1) != self.two - 1))
-        return F.transform(F.array_sort(own, lambda a, b: a.key - b.key), told)
+        own = F.filter(F.map_keys(m.edges), lambda key: (key >= (m.w * STARTS + 1) * (self.two + 1)) & (key % (self.two + 1) != self.two - 1))
+        return F.transform(F.sort_array(own), told)
 
     def path(self, best: Column) -> Column:
         """The tokens from the last one before each end back to the start, in order; ends beyond `best` follow one character."""
@@ -254,13 +254,14 @@ class Lattice:
         the edge would have been merged before both are taken up by greater ones (of one level the
         left merge is first). Where no longer edge fits, it is one character.
         """
-        one = F.array(F.struct(F.lit(1).alias("k"), F.lit(NEVER).alias("r")))
+        one = F.array(F.lit(NEVER * WAY + 1))
 
         def apart(m: Column, before: Column, edge: Column) -> Column:
             """Whether no symbols of the token before the edge and of the edge merge across its start."""
             ends = F.when(before < self.base, one).otherwise(m.edges[self.key(edge.at, before % self.base)].ends)
             middle = self.key(edge.at, 0)  # the edge from at - x to at + y is known by this + y * 2 longest - x
-            crossed = F.exists(ends, lambda x: _let(middle - x.k, lambda k: F.exists(edge.begins, lambda y: m.edges[k + y.k * self.two].number <= F.least(x.r, y.r))))
+            # packed numbers compare as numbers do, for the first in the comparison has no length
+            crossed = F.exists(ends, lambda x: _let(middle - x.bitwiseAND(WAY - 1), lambda k: F.exists(edge.begins, lambda y: m.edges[k + y.bitwiseAND(WAY - 1) * self.two].number <= F.least(x, y))))
             return F.coalesce(~crossed, F.lit(True))
 
         def step(m: Column, acc: Column, edge: Column) -> Column:
@@ -314,14 +315,17 @@ class Lattice:
 
 
 def piece_table(units: DataFrame, p: Pieces) -> DataFrame:
-    """(piece, x): id, number, score and the symbols on the way of each piece, as many rows as the vocabulary has."""
-    rows = []
-    for s, number in p.rank.items():
-        if p.unigram or len(s) == 1:
-            rows.append((s, (p.ids[s], number, p.score[s], [], [])))
-        elif s in p.spines:
-            rows.append((s, (p.ids[s], number, p.score[s], *p.spines[s])))
-    return units.sparkSession.createDataFrame(rows, "piece string, x struct<id:int,number:int,score:double,begins:array<struct<k:int,r:int>>,ends:array<struct<k:int,r:int>>>")
+    """(piece, x): what edges need of each piece, as many rows as the vocabulary has; its number is packed, the symbols on its way as Pieces.spines says."""
+    if p.longest >= WAY:
+        raise ValueError(f"pieces of {WAY} or more characters are not handled")
+
+    def packed(way: list[tuple[int, int]]) -> list[int]:
+        return [r * WAY + k for k, r in way]
+
+    if p.unigram:
+        return units.sparkSession.createDataFrame([(s, (p.ids[s], p.score[s])) for s in p.rank], "piece string, x struct<id:int,score:double>")
+    rows = [(s, (p.ids[s], number * WAY, *map(packed, p.spines.get(s, ([], []))))) for s, number in p.rank.items() if len(s) == 1 or s in p.spines]
+    return units.sparkSession.createDataFrame(rows, "piece string, x struct<id:int,number:int,begins:array<int>,ends:array<int>>")
 
 
 def lattice(units: DataFrame, p: Pieces) -> DataFrame:
@@ -371,34 +375,40 @@ def unit_table(texts: DataFrame, p: Pieces) -> DataFrame:
     return table
 
 
-#: The seeds of the two hashes by which a unit is known in the broadcast table: 128 bits together.
+#: The seeds of the two hashes by which a unit is known in the broadcast table: 96 bits together.
 SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42))
 
 
 def _hashes(unit: str) -> list[Column]:
-    """As XXH64 with each of SEEDS: Spark chains the hash of several columns by seeds."""
-    return [F.xxhash64(unit), F.xxhash64(F.lit(1), unit)]
+    """As XXH64 with each of SEEDS: Spark chains the hash of several columns by seeds. Of the second, 32 bits."""
+    return [F.xxhash64(unit), F.xxhash64(F.lit(1), unit).bitwiseAND((1 << 32) - 1)]
 
 
 def _packed(table: DataFrame) -> dict[str, np.ndarray]:
-    """The units' hashes in order, where each one's ids begin, and all ids; packed by the executors, so that the driver gets plain bytes of a bounded number."""
+    """The units' hashes in order, where each one's ids begin, and all ids.
+
+    Executors sort and pack them, so that the driver gets plain bytes, one part after another, into
+    arrays whose size BROADCAST_BYTES bounds.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("ids")
             size, flat = np.diff(lists.offsets.to_numpy()).astype(np.uint32), lists.flatten().to_numpy().astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.column("h").to_numpy(), b.column("g").to_numpy(), size, flat)], names=["h", "g", "size", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.column("h").to_numpy(), b.column("g").to_numpy().astype(np.uint32), size, flat)], names=["h", "g", "size", "flat"])
 
+    n, ids, most = table.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.max(F.array_max("ids")), F.lit(0))).first()
+    out = {"h": np.zeros(n, np.int64), "g": np.zeros(n, np.uint32), "at": np.zeros(n + 1, np.uint32), "flat": np.zeros(ids, np.uint16 if most < 1 << 16 else np.uint32)}
     h, g = _hashes("unit")
-    got: dict[str, list] = {"h": [], "g": [], "size": [], "flat": []}
-    for row in table.select(h.alias("h"), g.alias("g"), "ids").mapInArrow(run, "h binary, g binary, size binary, flat binary").toLocalIterator():
-        for k, kind in (("h", np.uint64), ("g", np.uint64), ("size", np.uint32), ("flat", np.uint32)):
-            got[k].append(np.frombuffer(bytes(row[k]), dtype=kind))
-    h, g, size, flat = (np.concatenate([np.zeros(0, dtype=kind), *got.pop(k)]) for k, kind in (("h", np.uint64), ("g", np.uint64), ("size", np.uint32), ("flat", np.uint32)))
-    order = np.lexsort((g, h))
-    begins = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    flat = _runs(flat, begins[:-1][order], size[order].astype(np.int64))
-    return {"h": h[order], "g": g[order], "at": np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)]).astype(np.uint32), "flat": flat}
+    i = j = 0
+    for row in table.select(h.alias("h"), g.alias("g"), "ids").orderBy("h", "g").mapInArrow(run, "h binary, g binary, size binary, flat binary").toLocalIterator():
+        size, flat = np.frombuffer(row.size, np.uint32), np.frombuffer(row.flat, np.uint32)
+        out["h"][i : i + len(size)] = np.frombuffer(row.h, np.int64)
+        out["g"][i : i + len(size)] = np.frombuffer(row.g, np.uint32)
+        out["at"][i + 1 : i + 1 + len(size)] = j + np.cumsum(size)
+        out["flat"][j : j + len(flat)] = flat
+        i, j = i + len(size), j + len(flat)
+    return out
 
 
 def _runs(values: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -419,6 +429,7 @@ class UnitIds:
     def find(self, units: list[bytes]) -> np.ndarray:
         """The place of each unit in the table, -1 if it is not there."""
         h, g = (np.fromiter((xxhash.xxh64_intdigest(u, s) for u in units), dtype=np.uint64, count=len(units)) for s in SEEDS)
+        h, g = h.view(np.int64), g.astype(np.uint32)
         if not len(self.h):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
