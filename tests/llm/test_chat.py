@@ -14,13 +14,13 @@ def rows():
     for c in range(120):
         for t in range(r.randint(1, 6)):
             out.append((c, t, r.choice(["user", "assistant", "system"]), "".join(r.choice(BITS) for _ in range(r.randint(0, 6)))))
-    return out + [(500, None, "assistant", None), (500, 1, None, "x"), (500, 1, None, "x"), (None, 1, "assistant", "lost"), (501, 1, "a\nb", "y"), (502, 1, "assistant", "z" * 300_000), (503, 1, "<|im_end|>", "")]
+    return out + [(500, None, "assistant", None), (500, 1, None, "x"), (500, 1, None, "x"), (None, 1, "assistant", "lost"), (501, 1, "a\nb", "y"), (504, 1, "<\n|<|n\n", "<|n"), (505, 1, "assistant\n", "z"), (502, 1, "assistant", "z" * 300_000), (503, 1, "<|im_end|>", "")]
 
 
 def want(data):
     convs = {}
     for c, t, role, text in data:
-        convs.setdefault(c, []).append((t is not None, t or 0, (role or "").replace("\n", " "), text or ""))
+        convs.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
     out = []
     for c, turns in convs.items():
         turns = [(r, x) for *_, r, x in sorted(turns)]

@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def reference():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def texts():
@@ -37,6 +35,14 @@ def test_units_give_the_library_s_ids(monkeypatch):
                 assert ids[a:z].tolist() == e.ids, repr(t)
 
 
+def test_files_of_another_kind_are_encoded_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_bin.UnitEncoder(path)
+    assert not encoder.by_words
+    ids, n = next(encoder.encode(pa.array(["Some words<|endoftext|> here", None, ""])))
+    assert ids.tolist() == Tokenizer.from_file(path).encode("Some words<|endoftext|> here", add_special_tokens=False).ids and n.tolist() == [len(ids), 0, 0]
+
+
 def test_pack_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):

@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import free_name, with_struct
@@ -19,6 +19,8 @@ from .sums import summed
 BINS = 1 << 14
 #: Labelled documents of each language, at most, that its centroids are fitted on.
 FIT_DOCS = 1000
+#: How many times FIT_DOCS documents of a language are fetched on the average, lest hashes that bunch leave too few.
+SPARE = 1.3
 #: Centroids of each language.
 CLUSTERS = 4
 #: Languages at most: all their centroids are broadcast, BINS x 4 bytes each.
@@ -97,7 +99,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Learns from rows of docs where learn holds and text and language are not null.
 
     Document frequencies count all those rows. Centroids are fitted, one task a language, on up to
-    FIT_DOCS whole documents of each, those of least hash of their id.
+    FIT_DOCS whole documents of each, those of least hash of their id; of rows that repeat an id and a
+    language, one counts there, that of the least text. A hash bar passes SPARE times as many on the
+    average.
     """
     spark = docs.sparkSession
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -115,14 +119,16 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return Model(np.zeros(BINS), [], np.zeros((BINS, 0), dtype=np.float32), np.zeros(0, dtype=int), 0.0)
     idf = (np.log((1 + df[BINS]) / (1 + df[:BINS])) + 1).astype(np.float32)
 
-    picked = rows.select("id", "lang").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("at") <= FIT_DOCS)
-    languages = picked.select("lang").distinct().count()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sizes.count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages; MAX_LANGUAGES is {MAX_LANGUAGES}")
-    chosen = rows.join(F.broadcast(picked.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
+    # by a bar for the hash, not by rank: no task gathers a language to rank it
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    chosen = rows.join(F.broadcast(sizes), "lang").where(place <= F.lit(SPARE * FIT_DOCS) / F.col("n")).groupBy("lang", "id").agg(F.min("text").alias("text"), F.first(place).alias("place"))
 
     def own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "text"]).head(FIT_DOCS)
+        pdf = pdf.sort_values(["place", "id"]).head(FIT_DOCS)
         x = np.zeros((len(pdf), BINS), dtype=np.float32)
         for i, t in enumerate(pdf.text):
             at, w = vector(bins_of(t), idf)

@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

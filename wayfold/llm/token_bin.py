@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -37,11 +38,20 @@ _BYTES = _byte_letters()
 _SPACE = _BYTES[32]
 
 
+def byte_level(said: dict) -> bool:
+    """Whether a tokenizer file is a plain byte-level BPE, whose texts may be cut as UnitEncoder does."""
+    model, before = said["model"], said["pre_tokenizer"] or {}
+    bare = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return model["type"] == "BPE" and bare and said["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+
+
 class UnitEncoder(WordIds):
     """Ids of whole texts by a byte-level BPE of the tokenizers library, which sees each different unit once.
 
     Such a tokenizer's pieces never go past a space that follows other than white space, nor from
     a letter to a mark, so a text may be cut there and the ids of its units put one after another.
+    The strings of added tokens in a text are those tokens, as the library has it, and cut it too. A
+    file of another kind has its texts encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,9 +60,31 @@ class UnitEncoder(WordIds):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.marks: dict[str, list[int]] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        strings = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        self.odd = f"{type(self).odd}|{strings}" if strings else type(self).odd
+        self.around = re.compile(f"({strings})" if strings else r"(?!)()")
+        self.by_words = byte_level(json.loads(self.tokenizer.to_str())) and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+
+    def encode(self, texts: pa.Array, few: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.by_words:
+            yield from super().encode(texts, few)
+            return
+        for at in range(0, len(texts), few):
+            lists = [x.ids for x in self.tokenizer.encode_batch_fast([t or "" for t in texts.slice(at, few).to_pylist()], add_special_tokens=False)]
+            yield np.fromiter(chain.from_iterable(lists), dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
+
+    def cut(self, text: str) -> list:
+        keys: list = []
+        for k, part in enumerate(self.around.split(text)):
+            if k % 2:
+                keys.append((part, "added"))
+            elif part:
+                keys += super().cut(part)
+        return keys
 
     def _word(self, text: str) -> list[int]:
         """The ids of one word of the model, spelt in byte letters."""
@@ -68,7 +100,7 @@ class UnitEncoder(WordIds):
     def learn(self, keys: list) -> list[list[int]]:
         lists, other = [], []
         for i, k in enumerate(keys):
-            found = None
+            found = [self.added[k[0]]] if type(k) is tuple and len(k) == 2 else None
             if type(k) is str:
                 m = None if k.isalpha() else _ENDED.fullmatch(k)
                 core = k if m is None else m[1]
@@ -92,14 +124,14 @@ def encoder_of(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
-BLOCK = "part int, block int, doc_ids array<{id}>, n_tokens array<long>, n_ids long, {body}"
+BLOCK = "part int, block int, before long, doc_ids array<{id}>, n_tokens array<long>, n_ids long, {body}"
 
 
 def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
-    """Blocks of documents in ascending order with their ids as little-endian numbers of `width` bytes; each task's last row has how often each id occurs in the task."""
+    """Blocks of documents in ascending order with their ids as little-endian numbers of `width` bytes, and how many ids of the part lie before; each task's last row has how often each id occurs in the task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, block, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0, 0
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kept: list = []
         counts = np.zeros(0, dtype=np.int64)
@@ -108,8 +140,8 @@ def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> Da
         def batch(counted: bytes | None) -> pa.RecordBatch:
             ids = np.concatenate([x[2] for x in kept]) if kept else np.zeros(0, dtype=np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([[i for x in kept for i in x[0]]], pa.list_(id_type)), pa.array([[n for x in kept for n in x[1].tolist()]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([counted], pa.binary())],
-                names=["part", "block", "doc_ids", "n_tokens", "n_ids", "width", "ids", "counts"],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([[i for x in kept for i in x[0]]], pa.list_(id_type)), pa.array([[n for x in kept for n in x[1].tolist()]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([counted], pa.binary())],
+                names=["part", "block", "before", "doc_ids", "n_tokens", "n_ids", "width", "ids", "counts"],
             )
 
         held = 0
@@ -127,7 +159,7 @@ def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> Da
                 held += len(ended)
                 if held >= BLOCK_IDS:
                     yield batch(None)
-                    kept, held, block = [], 0, block + 1
+                    kept, held, block, before = [], 0, block + 1, before + held
         if len(counts):
             yield batch(counts.tobytes())
         kept = []
@@ -165,8 +197,6 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 #: For each control byte, the four lengths that it holds.
 WIDTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
-#: For each length, which bits of four bytes count.
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -229,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
             for i in range(b.num_rows):
                 control, data = pack(sent.value[np.frombuffer(b.column("ids")[i].as_py(), dtype=f"<u{b.column('width')[i].as_py()}")])
                 row = b.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=[*row.schema.names[:5], "control", "data"])
+                yield pa.RecordBatch.from_arrays([*row.columns[:6], pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=[*row.schema.names[:6], "control", "data"])
 
     blocks.drop("counts").mapInArrow(run, BLOCK.format(id=kind, body="control binary, data binary")).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
@@ -240,8 +270,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     """(doc_id, start, n_tokens, ids_crc32[, ids]) from the files of write_tokens(); start counts the ids of all documents before."""
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    before = blocks.select("part", "block", "n_ids").withColumn("first", F.sum("n_ids").over(Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = blocks.join(F.broadcast(before.select("part", "block", F.coalesce("first", F.lit(0).cast("long")).alias("first"))), ["part", "block"])
+    # a row a part, of which a session's shuffle partitions make a bounded number; within a part its task counted
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("start"))
+    placed = blocks.join(F.broadcast(starts), F.col("part") == F.col("of")).withColumn("first", F.col("start") + F.col("before"))
     ranks = spark.read.parquet(f"{path}/ranks").first()
     sent = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks.ids), dtype="<u4"))
 
