@@ -10,6 +10,7 @@ from wayfold.functions import scalar as S
 from wayfold.operators import lines as L
 from wayfold.operators import network as N
 from wayfold.operators import raster as R
+from wayfold.operators import conductivity as C
 from wayfold.operators.roads import default_rows, measure_roads
 from wayfold.operators.spatial import boxes_to_edges, crossings, in_polygons
 from wayfold.params import DEFAULTS
@@ -101,6 +102,22 @@ def test_flat_strip_is_measured(spark):
     assert 6 <= r.ROADWIDTH <= 10 and r.CLASS == 1 and r.SINUOSITY == 1 and errors.count() == 0 and lines.count() > 0
 
 
+    v = frame(spark, [(-5, 1, 12.0, 20.1), (-5, 2, 118.0, 20.1), (10**12, 1, 12.0, 20.1), (10**12, 2, 70.0, 20.1)], LINE)
+    pieces = replace(DEFAULTS, confidence=1, extraction=replace(DEFAULTS.extraction, road_max_len=52))
+    roads, lines, _ = measure_roads(p, v, pieces)
+    assert sorted((r.line_id, r.CLASS) for r in roads.collect()) == [(-5, 1), (10**12, 1)]
+    xs = [r.x for r in lines.where("line_id = -5").orderBy("seq").collect()]
+    assert xs == sorted(xs) and xs[0] == 12 and xs[-1] == 118
+
+
+def test_edges_hardly_depend_on_tiles(spark):
+    cells = spark.range(128 * 48).select((F.col("id") % 128).cast("int").alias("cx"), F.floor(F.col("id") / 128).cast("int").alias("cy"))
+    cells = cells.withColumn("v", (F.col("cx") / 128 + F.pmod(F.xxhash64("cx", "cy"), F.lit(5)) / 20) / 1.2)
+    one, other = (C.edge_enhanced(cells, tile=t, halo=32).withColumnRenamed("v", f"v{t}") for t in (64, 256))
+    far = one.join(other, ["cx", "cy"]).select(F.avg(F.abs(F.col("v64") - F.col("v256"))).alias("mean"), F.max(F.abs(F.col("v64") - F.col("v256"))).alias("most"), F.count("*").alias("n")).first()
+    assert far.n == 128 * 48 and far.mean < 0.01 and far.most < 0.1, far
+
+
 def test_short_road_is_class_0(spark):
     p = frame(spark, [(1.0, 1.0, 0.0, 1, 1, 2, 0)], "x double, y double, z double, intensity int, psid int, cls int, angle int")
     v = frame(spark, [(1, 1, 0.0, 0.0), (1, 2, 5.0, 0.0)], LINE)

@@ -12,7 +12,7 @@ from wayfold.params import DEFAULTS, DEFAULTS_V2, Parameters
 
 from . import points as P
 from . import raster as R
-from .kernels import enhance_edges
+from .kernels import diffused
 from .raster import CELL
 
 
@@ -62,8 +62,14 @@ def conductivity_v1(points: DataFrame, dtm: DataFrame | None = None, p: Paramete
     return s.withColumns({k: F.floor(F.col(k) / 2).cast("int") for k in CELL}).groupBy(*CELL).agg(*(F.avg(k).alias(k) for k in s.columns if k not in CELL))
 
 
-def edge_enhanced(cells: DataFrame, tile: int = 256, halo: int = 8, value: str = "v") -> DataFrame:
-    """cells with edge_enhance()d values, tile by tile; each tile's group also gets the cells within the halo, which are dropped after."""
+def edge_enhanced(cells: DataFrame, tile: int = 256, halo: int = 32, value: str = "v", upper: float = 0.995) -> DataFrame:
+    """cells with values diffused tile by tile, then stretched by the least and the upper quantile (to 1 in 10,000 ranks) of all cells.
+
+    Each tile's group also gets the cells within the halo, which are dropped after. Two tilings
+    differ only by what reaches a cell from beyond the halo.
+    """
+    from wayfold.sources.tables import cut
+
     near = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
     t = cells.select(*CELL, F.col(value).cast("double").alias("v")).withColumn("o", near)
     t = t.withColumns({"tx": F.floor(F.col("cx") / tile).cast("int") + F.col("o.dx"), "ty": F.floor(F.col("cy") / tile).cast("int") + F.col("o.dy")}).drop("o")
@@ -73,11 +79,14 @@ def edge_enhanced(cells: DataFrame, tile: int = 256, halo: int = 8, value: str =
         x0, y0 = pdf.cx.min(), pdf.cy.min()
         a = np.full((pdf.cy.max() - y0 + 1, pdf.cx.max() - x0 + 1), np.nan)
         a[pdf.cy - y0, pdf.cx - x0] = pdf.v
-        out = enhance_edges(a)
+        out = diffused(a)
         own = pdf[(pdf.cx // tile == key[0]) & (pdf.cy // tile == key[1])]
         return pd.DataFrame({"cx": own.cx, "cy": own.cy, value: out[own.cy - y0, own.cx - x0]})
 
-    return t.where(inside).groupBy("tx", "ty").applyInPandas(run, f"cx int, cy int, {value} double")
+    out = cut(t.where(inside).groupBy("tx", "ty").applyInPandas(run, f"cx int, cy int, {value} double"))
+    ends = out.agg(F.min(value).alias("_lo"), F.percentile_approx(value, upper, 10_000).alias("_hi"))
+    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return out.crossJoin(F.broadcast(ends)).select(*CELL, F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)).alias(value))
 
 
 def conductivity_v2(points: DataFrame, dtm: DataFrame | None = None, water: DataFrame | None = None, p: Parameters = DEFAULTS_V2, use_intensity: bool = True, raw: bool = False) -> DataFrame:

@@ -33,11 +33,17 @@ def diffuse(image: np.ndarray, iterations: int, rate: float, k: float) -> np.nda
     return a.astype(np.uint8)
 
 
-def enhance_edges(values: np.ndarray, iterations: int = 50, rate: float = 0.05, k: float = 20, passes: int = 2, upper: float = 0.995) -> np.ndarray:
-    """Diffusion of values 0..1 as bytes, `passes` times, then stretched to 0..1 with all over the upper quantile as 1. Missing values count 0."""
+def diffused(values: np.ndarray, iterations: int = 50, rate: float = 0.05, k: float = 20, passes: int = 2) -> np.ndarray:
+    """Diffusion of values 0..1 as bytes, `passes` times. Missing values count 0."""
     a = np.nan_to_num(values)
     for _ in range(passes):
         a = diffuse(np.clip(a * 255, 0, 255), iterations, rate, k) / 255
+    return a
+
+
+def enhance_edges(values: np.ndarray, iterations: int = 50, rate: float = 0.05, k: float = 20, passes: int = 2, upper: float = 0.995) -> np.ndarray:
+    """diffused(), then stretched to 0..1 with all over the upper quantile as 1."""
+    a = diffused(values, iterations, rate, k, passes)
     lo, hi = a.min(), np.quantile(a, upper)
     return np.clip((a - lo) / (hi - lo), 0, 1) if hi > lo else np.zeros_like(a)
 

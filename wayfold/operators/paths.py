@@ -60,7 +60,7 @@ def masked(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float
         wet = in_polygons(places, water).select("pid.cx", "pid.cy", F.lit(True).alias("wet")).distinct()
         n = n.join(wet, CELL, "left").where(F.col("wet").isNull() | (F.col("d") <= bridge)).withColumn("sigma", F.when(F.col("wet"), 1.0).otherwise(F.col("sigma"))).drop("wet")
     ends = n.groupBy("line_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    n = n.join(F.broadcast(ends), "line_id").join(F.broadcast(end_chords(v)), "line_id")
+    n = n.join(ends, "line_id").join(end_chords(v), "line_id")
     f = 1 - F.coalesce(F.try_divide((F.col("d") - F.col("lo")) * F.lit(float(p.confidence)), F.col("hi") - F.col("lo")), F.lit(0.0))
 
     def around(e: str) -> tuple:

@@ -39,8 +39,10 @@ def correct_intensity(points: DataFrame) -> DataFrame:
 
 
 def z_score(points: DataFrame) -> DataFrame:
-    w = Window.partitionBy("psid")
-    return points.withColumn("zs", F.coalesce(F.try_divide(F.col("intensity") - F.avg("intensity").over(w), F.stddev_samp("intensity").over(w)), F.lit(0.0)))
+    """points plus zs, the intensity's distance from its flightline's mean in standard deviations, 0 where there is none; a row a flightline is broadcast."""
+    line = points.groupBy("psid").agg(F.avg("intensity").alias("_mean"), F.stddev_samp("intensity").alias("_sd"))
+    line = line.withColumnRenamed("psid", "_psid")
+    return points.join(F.broadcast(line), F.col("psid").eqNullSafe(F.col("_psid"))).drop("_psid").withColumn("zs", F.coalesce(F.try_divide(F.col("intensity") - F.col("_mean"), F.col("_sd")), F.lit(0.0))).drop("_mean", "_sd")
 
 
 def cap_outliers(points: DataFrame, times: int = 2, q: float = 0.98) -> DataFrame:
@@ -105,8 +107,8 @@ def in_oriented_rectangle(points: DataFrame, cx: Column, cy: Column, angle: Colu
     return (F.abs(dx * F.cos(angle) + dy * F.sin(angle)) <= length / 2) & (F.abs(dy * F.cos(angle) - dx * F.sin(angle)) <= width / 2)
 
 
-def flightlines_by_gap(pulses: DataFrame, time: str, gap: float, by: str) -> DataFrame:
-    """Numbers the runs of pulses of each `by` whose times are no more than gap apart: adds line."""
-    w = Window.partitionBy(by).orderBy(time, "event_id")
+def flightlines_by_gap(pulses: DataFrame, time: str, gap: float, by: str, tie: str) -> DataFrame:
+    """Numbers the runs of pulses of each `by` whose times are no more than gap apart: adds line. Equal times go by `tie`."""
+    w = Window.partitionBy(by).orderBy(time, tie)
     new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(0))
     return pulses.withColumn("_new", new).withColumn("line", (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("int")).drop("_new")

@@ -85,35 +85,39 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
 
     roads has line_id and the eight result columns; lines the new vertices, or the given ones of
     roads of a class over keep_class or unknown; errors the lines whose search failed, which are
-    class 0. Lines shorter than 4 slices or without points are class 0, lines without a way class 4.
-    Lines over road_max_len are cut in equal pieces, and their means are taken over the pieces.
+    class 0. Lines shorter than 4 slices or without points are class 0; lines without a way, or whose
+    way is shorter than 4 slices, class 4. Lines over road_max_len are cut in equal pieces, and their
+    means are taken over the pieces, null where one lacks the value. Line ids may be any number.
     """
     e = p.extraction
     size = lengths(v)
     n = F.floor(F.col("length") / e.road_max_len).cast("int") + 1
-    piece = v.join(size.where(F.col("length") >= 4 * e.section_length).select("line_id", n.alias("pieces")), "line_id")
-    whole = piece.where("pieces = 1").select("line_id", "seq", "x", "y")
-    many = piece.where("pieces > 1")
-    counts = many.select("line_id", "pieces").distinct().select("line_id", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
-    copies = many.drop("pieces").join(counts, "line_id").select((-(F.col("line_id") * 10_000 + F.col("k")) - 1).alias("line_id"), "seq", "x", "y", "k", "pieces")
-    parts = substring_by(copies)
-    work = whole.unionByName(parts)
-    owner = F.when(F.col("line_id") < 0, F.call_function("div", -F.col("line_id") - 1, F.lit(10_000))).otherwise(F.col("line_id"))
+    known = size.where(F.col("length") >= 4 * e.section_length).select(F.col("line_id").alias("owner"), n.alias("pieces"))
+    # pieces get numbers of their own, small enough to number their slices by; a checkpoint fixes them
+    keys = known.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    keys = cut(keys.repartition(64, "owner").withColumn("piece", F.monotonically_increasing_id()))
+    copies = v.withColumnRenamed("line_id", "owner").join(keys, "owner").select(F.col("piece").alias("line_id"), "seq", "x", "y", "k", "pieces")
+    work = copies.where("pieces = 1").select("line_id", "seq", "x", "y").unionByName(substring_by(copies.where("pieces > 1")))
+    of = keys.select(F.col("piece").alias("line_id"), "owner", "k")
+
+    def owned(df: DataFrame) -> DataFrame:
+        """df by line instead of by piece, with k, the piece's place in the line."""
+        return df.join(of, "line_id").drop("line_id").withColumnRenamed("owner", "line_id")
 
     dtm = ground_model(points)
     high = normalize_height(points, dtm)
     if p.confidence < 1:
         sigma = conductivity_v1(points, dtm, p) if sigma is None else sigma
         path = cut(least_cost_paths(sigma, work, p, water=water))
-        errors = path.where("error is not null").select(owner.alias("line_id"), "error")
+        errors = owned(path.where("error is not null").select("line_id", "error")).select("line_id", "error")
         cond = path.where("error is null").groupBy("line_id").agg(F.max("conductivity").alias("conductivity"), F.count("x").alias("n"))
         route = simplified(path.where("x is not null and error is null").select("line_id", "seq", "x", "y"), 3)
         long = lengths(route).where(F.col("length") >= 4 * e.section_length).select("line_id")
         route = route.join(long, "line_id", "left_semi")
     else:
-        errors = work.select(owner.alias("line_id"), F.lit(None).cast("string").alias("error")).limit(0)
+        errors = owned(work.select("line_id").limit(0)).select("line_id", F.lit(None).cast("string").alias("error"))
         cond = work.select("line_id").distinct().withColumn("conductivity", F.lit(1.0))
-        route = work
+        route = long = work
     route = cut(route)
     slices = cut(slices_of(route, e.section_length))
     metrics = cut(slice_metrics(high, slices, p))
@@ -122,15 +126,17 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     new = simplified(smoothed(line.join(enough, "line_id", "left_semi").select("line_id", "seq", "x", "y")), 1) if p.confidence < 1 else route
     m = Q.road_metrics(metrics.withColumn("road_id", F.col("line_id"))).withColumnRenamed("road_id", "line_id").join(sinuosity(new).withColumnRenamed("sinuosity", "SINUOSITY"), "line_id", "left").join(cond.select("line_id", F.col("conductivity").alias("CONDUCTIVITY")), "line_id", "left")
     names = ["ROADWIDTH", "DRIVABLEWIDTH", "PERCABOVEROAD", "SHOULDERS", "SINUOSITY", "CONDUCTIVITY"]
-    m = m.groupBy(owner.alias("line_id")).agg(*(F.round(F.avg(c), 2 if c in ("SINUOSITY", "CONDUCTIVITY") else 1).alias(c) for c in names))
+    # a value that one piece lacks is lacking for the line
+    m = owned(m).groupBy("line_id").agg(*(F.round(F.when(F.count(c) == F.count("*"), F.avg(c)), 2 if c in ("SINUOSITY", "CONDUCTIVITY") else 1).alias(c) for c in names))
     m = m.withColumn("SCORE", road_score(*(F.col(c) for c in ("PERCABOVEROAD", "DRIVABLEWIDTH", "CONDUCTIVITY", "SHOULDERS")), p)).withColumn("CLASS", road_class(F.col("SCORE")))
-    lost = cond.where("conductivity = 0").select(owner.alias("line_id")).distinct()
+    short = cond.where("conductivity > 0").join(long, "line_id", "left_anti")
+    lost = owned(cond.where("conductivity = 0").unionByName(short, allowMissingColumns=True).select("line_id")).select("line_id").distinct()
     rest = size.select("line_id").join(m.select("line_id"), "line_id", "left_anti").join(lost.withColumn("none", F.lit(True)), "line_id", "left")
     m = cut(m)
     roads = m.unionByName(default_rows(rest, F.coalesce("none", F.lit(False))).drop("none"))
     good = roads.where(F.col("CLASS").between(1, keep_class)).select("line_id")
-    moved = new.withColumn("piece", -F.col("line_id")).withColumn("line_id", owner).join(good, "line_id", "left_semi")
-    moved = moved.select("line_id", F.row_number().over(Window.partitionBy("line_id").orderBy("piece", "seq")).cast("bigint").alias("seq"), "x", "y")
+    moved = owned(new).join(good, "line_id", "left_semi")
+    moved = moved.select("line_id", F.row_number().over(Window.partitionBy("line_id").orderBy("k", "seq")).cast("bigint").alias("seq"), "x", "y")
     kept = v.select("line_id", "seq", "x", "y").join(moved.select("line_id").distinct(), "line_id", "left_anti")
     return roads, moved.unionByName(kept), errors
 

@@ -311,7 +311,7 @@ def flightline_realign(spark, sf):
  (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 86400 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY 1, 2""")
 def flightline_ids_by_gap(spark, sf):
     e = V.table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    return P.flightlines_by_gap(e, "t", 86400, "user_id").groupBy("user_id", "line").agg(F.count("*").alias("n"))
+    return P.flightlines_by_gap(e, "t", 86400, "user_id", "event_id").groupBy("user_id", "line").agg(F.count("*").alias("n"))
 
 
 @query(with_views("SELECT k, count(*) AS n, round(sum(x), 6) AS sx FROM points, (SELECT CAST(k AS INT) AS k FROM range(0, 4) t(k)) WHERE abs((x - 100) * cos(k * 0.5) + (y - 50) * sin(k * 0.5)) <= 20.005 AND abs((y - 50) * cos(k * 0.5) - (x - 100) * sin(k * 0.5)) <= 7.505 GROUP BY k", "points"))

@@ -15,7 +15,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the cluster's shared folder; a temporary folder only where the session names none."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-"))
     return df.checkpoint()
 
 
