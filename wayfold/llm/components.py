@@ -16,8 +16,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) long pairs -> (node, root) for each node that has a link; root is its component's least node.
 
     Large star: a node's greater neighbours take its least neighbour. Small star: its lesser
-    neighbours do. Each is a grouped minimum, which combines before the shuffle, and an equi-join,
-    so a hub's links never meet in one list. The number of rounds grows with the logarithm of the
+    neighbours do. Each is a grouped minimum, which combines before the shuffle, and an equi-join of
+    links with one row a node; a hub's links are rows, never one list, and adaptive skew joins deal
+    them out over tasks. The number of rounds grows with the logarithm of the
     number of nodes. Every round is written to the shared folder. Loops and nulls are dropped;
     repeated and reversed pairs count once; no pairs give no rows.
     """
