@@ -163,3 +163,36 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("select * from cells_out").collect())) == [(0, 0, 2, 1.0, 3.0), (1, 0, 1, 2.0, 2.0)]
+
+
+def test_guards_name_what_is_wrong(spark):
+    from wayfold.operators import checks as K
+
+    with pytest.raises(ValueError, match="road_buffer"):
+        K.need_parameters(replace(DEFAULTS, extraction=replace(DEFAULTS.extraction, road_buffer=20)))
+    with pytest.raises(ValueError, match="confidence"):
+        K.need_parameters(replace(DEFAULTS, confidence=2))
+    K.need_parameters(DEFAULTS)
+    with pytest.raises(ValueError, match="not 1.5"):
+        K.need_resolution(1.5, 1, "a terrain")
+    with pytest.raises(ValueError, match="smaller than two cells"):
+        K.need_tiles(1, 1)
+    K.need_tiles(0, 1)
+    v = frame(spark, [(1, 1, 0.0, 0.0), (1, 2, None, 1.0), (2, 1, 0.0, 0.0), (3, 1, 0.0, 0.0), (3, 1, 1.0, 0.0), (4, 1, 0.0, 0.0), (4, 2, 5.0, 0.0)], LINE)
+    assert sorted(tuple(r) for r in K.faulty_lines(v).collect()) == [(1, "place unknown"), (2, "one vertex"), (3, "place number twice")]
+    with pytest.raises(ValueError, match="seq not found"):
+        measure_roads(frame(spark, [], "x double, y double, z double, cls int"), v.drop("seq"))
+
+
+def test_locate_at_ends_repeats_and_off_the_line(spark):
+    v = frame(spark, [(1, 1, 0.0, 0.0), (1, 2, 4.0, 0.0), (1, 3, 4.0, 0.0), (1, 4, 4.0, 3.0), (1, 5, 4.0, 3.0)], LINE)
+    at = frame(spark, [(1, 0, 0.0), (1, 1, 4.0), (1, 2, 5.0), (1, 3, 7.0), (1, 4, 8.0), (1, 5, -1.0), (1, 6, None), (2, 0, 1.0)], "line_id long, k int, m double")
+    assert sorted((r.k, r.x, r.y) for r in L.locate(v, at).collect()) == [(0, 0, 0), (1, 4, 0), (2, 4, 1), (3, 4, 3)]
+    assert sorted((r.k, r.x, r.y) for r in L.locate(v, at, from_end=True).collect()) == [(0, 4, 3), (1, 3, 0), (2, 2, 0), (3, 0, 0)]
+    with pytest.raises(Exception, match="lies off its line"):
+        L.locate(v, at, strict=True).collect()
+
+
+def test_cropped_lines(spark):
+    v = frame(spark, [(1, 1, -5.0, 5.0), (1, 2, 15.0, 5.0), (2, 1, 0.0, 20.0), (2, 2, 5.0, 20.0), (3, 1, 2.0, 2.0), (3, 2, 2.0, 30.0), (4, 1, -5.0, 5.0), (4, 2, 5.0, 15.0)], LINE)
+    assert sorted(tuple(r) for r in L.cropped(v, 0, 0, 10, 10).collect()) == [(1, 1, 0, 5, 10, 5), (3, 1, 2, 2, 2, 10)]

@@ -69,13 +69,52 @@ def turning_angles(v: DataFrame) -> DataFrame:
     return inner.select("line_id", "seq", turn(F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("nx") - F.col("x"), F.col("ny") - F.col("y")).alias("angle"))
 
 
-def locate(v: DataFrame, at: DataFrame) -> DataFrame:
-    """Points at measures: at is (line_id, k, m); gives (line_id, k, m, x, y). Measures off the line give no row."""
-    s = segments(v).join(at.select("line_id", "k", F.col("m").alias("at")), "line_id")
-    on = s.where((F.col("at") >= F.col("m1")) & ((F.col("at") < F.col("m2")) | ((F.col("at") <= F.col("m2")) & (F.col("m2") == F.col("len")))))
-    t = F.coalesce(F.try_divide(F.col("at") - F.col("m1"), F.col("m2") - F.col("m1")), F.lit(0.0))
-    first = on.groupBy("line_id", "k", F.col("at").alias("m")).agg(F.min_by(F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y")), "seq").alias("p"))
-    return first.select("line_id", "k", "m", "p.x", "p.y")
+def locate(v: DataFrame, at: DataFrame, from_end: bool = False, strict: bool = False) -> DataFrame:
+    """Points at measures: at is (line_id, k, m); gives (line_id, k, m, x, y).
+
+    Measures off the line give no row, or an error with strict. With from_end they count from the
+    line's end. A measure may exceed the length by 1e-9, as sums differ by their order. Segments and measures are sorted together, so none is compared with all of the other.
+    """
+    s = segments(v)
+    size = s.groupBy("line_id").agg(F.max("len").alias("len")) if from_end or strict else None
+    at = at.select("line_id", "k", "m")
+    if size is not None:
+        at = at.join(size, "line_id")
+        if strict:
+            off = (F.col("m") > F.col("len") + 1e-9) | (F.col("m") < 0)
+            at = at.withColumn("m", F.when(off, F.raise_error(F.lit("a measure lies off its line"))).otherwise(F.col("m")))
+    place = F.col("len") - F.col("m") if from_end else F.col("m")
+    marks = at.select("line_id", "k", "m", place.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double,m1:double,m2:double,len:double>").alias("s"))
+    parts = s.select("line_id", F.lit(None).cast(at.schema["k"].dataType).alias("k"), F.lit(None).cast("double").alias("m"), F.col("m1").alias("at"), F.lit(0).alias("kind"), F.col("seq").cast("bigint").alias("seq"), F.struct(*(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "m1", "m2", "len"))).alias("s"))
+    w = Window.partitionBy("line_id").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    on = parts.unionByName(marks).withColumn("s", F.last("s", ignorenulls=True).over(w)).where("kind = 1 and s is not null and at <= s.len + 1e-9")
+    t = F.coalesce(F.try_divide(F.col("at") - F.col("s.m1"), F.col("s.m2") - F.col("s.m1")), F.lit(0.0))
+    return on.select("line_id", "k", "m", (F.col("s.x1") + t * (F.col("s.x2") - F.col("s.x1"))).alias("x"), (F.col("s.y1") + t * (F.col("s.y2") - F.col("s.y1"))).alias("y"))
+
+
+def rescaled(v: DataFrame, length: DataFrame) -> DataFrame:
+    """Vertices plus place: the share of the line up to each, times the length that (line_id, length) gives; null for a line of no length."""
+    m = measured(v)
+    total = F.max("m").over(Window.partitionBy("line_id"))
+    return m.withColumn("_t", total).join(length.select("line_id", "length"), "line_id").withColumn("place", F.try_divide(F.col("m"), F.col("_t")) * F.col("length")).drop("_t", "seg", "m", "length")
+
+
+def cropped(v: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """(line_id, seq, x1, y1, x2, y2): what of each segment lies in a box, its border included; a mere touch is left out."""
+    s = segments(v).where((F.greatest("x1", "x2") >= x0) & (F.least("x1", "x2") <= x1) & (F.greatest("y1", "y2") >= y0) & (F.least("y1", "y2") <= y1))
+
+    def span(a: str, b: str, lo: float, hi: float) -> tuple[Column, Column]:
+        d = F.col(b) - F.col(a)
+        p, q = F.try_divide(lo - F.col(a), d), F.try_divide(hi - F.col(a), d)
+        return F.coalesce(F.least(p, q), F.lit(0.0)), F.coalesce(F.greatest(p, q), F.lit(1.0))
+
+    (a0, a1), (b0, b1) = span("x1", "x2", x0, x1), span("y1", "y2", y0, y1)
+    s = s.withColumns({"_a": F.greatest(F.lit(0.0), a0, b0), "_b": F.least(F.lit(1.0), a1, b1)}).where("_a < _b")
+
+    def at(c: str, t: str) -> Column:
+        return F.col(f"{c}1") + F.col(t) * (F.col(f"{c}2") - F.col(f"{c}1"))
+
+    return s.select("line_id", "seq", at("x", "_a").alias("x1"), at("y", "_a").alias("y1"), at("x", "_b").alias("x2"), at("y", "_b").alias("y2"))
 
 
 def extend(v: DataFrame, distance: float, head: bool = True, tail: bool = True) -> DataFrame:

@@ -10,6 +10,11 @@ from .raster import CELL, rasterize, to_cells
 GROUND, WATER, BRIDGE = 2, 9, 17
 
 
+def with_intensity(points: DataFrame) -> DataFrame:
+    """points with an intensity of 0 where the scan has no such column."""
+    return points if "intensity" in points.columns else points.withColumn("intensity", F.lit(0))
+
+
 def ground_model(points: DataFrame, res: float = 1) -> DataFrame:
     """A terrain from ground points: the least z of each cell that has some."""
     return rasterize(points.where(F.col("cls") == GROUND), res, F.min("z").alias("dtm"))

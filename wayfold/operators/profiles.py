@@ -74,6 +74,33 @@ def slice_percentages(points: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("slice_id").join(got.withColumn("some", F.lit(1)), "slice_id", "left").select("slice_id", F.when(F.col("some").isNull(), 0.0).otherwise(F.col("p05")).alias("p05"), F.when(F.col("some").isNull(), 100.0).otherwise(F.col("p2")).alias("p2"), "pground")
 
 
+def drivable_percentages(points: DataFrame, edges: DataFrame, drive: DataFrame) -> DataFrame:
+    """slice_percentages() between the drivable edges too, which need not lie inside the road's: null without points there, but 0, 100 and null where the road itself has none."""
+    z = F.col("z")
+    both = edges.select("slice_id", "left", "right").join(drive.select("slice_id", F.col("left").alias("dl"), F.col("right").alias("dr")), "slice_id", "left")
+    road = points.join(both, "slice_id").where((F.col("pos") > F.col("left")) & (F.col("pos") < F.col("right")))
+    on = F.coalesce((F.col("pos") > F.col("dl")) & (F.col("pos") < F.col("dr")), F.lit(False))
+    low = F.count_if(on & (z < 5))
+    got = road.groupBy("slice_id").agg(
+        F.round(F.try_divide(100 * F.count_if(on & (z > 0.5) & (z < 5)), low), 1).alias("p05"),
+        F.round(F.try_divide(100 * F.count_if(on & (z > 2) & (z < 5)), low), 1).alias("p2"),
+        F.round(F.try_divide(100 * F.count_if(on & (F.col("cls") == 2)), F.count_if(on)), 1).alias("pground"),
+    )
+    return edges.select("slice_id").join(got.withColumn("some", F.lit(1)), "slice_id", "left").select("slice_id", F.when(F.col("some").isNull(), 0.0).otherwise(F.col("p05")).alias("p05"), F.when(F.col("some").isNull(), 100.0).otherwise(F.col("p2")).alias("p2"), "pground")
+
+
+def inverse_distance(points: DataFrame, at: DataFrame, k: int = 10, power: float = 2) -> DataFrame:
+    """(slice_id, tid, z): at places (slice_id, tid, tx, ty), the mean height of the slice's k nearest ground points (along, pos, z) by distance to the -power; a point at the place itself decides alone.
+
+    A place meets its own slice's points only; equal distances go by height.
+    """
+    g = points.where(F.col("cls").isin(2, 9)).select("slice_id", "along", "pos", "z").join(at, "slice_id")
+    g = g.withColumn("d", F.hypot(F.col("along") - F.col("tx"), F.col("pos") - F.col("ty")))
+    g = g.withColumn("_r", F.row_number().over(Window.partitionBy("slice_id", "tid").orderBy("d", "z"))).where(F.col("_r") <= k)
+    w = F.when(F.col("d") > 0, F.pow("d", F.lit(-float(power))))
+    return g.groupBy("slice_id", "tid").agg(F.coalesce(F.avg(F.when(F.col("d") == 0, F.col("z"))), F.sum(w * F.col("z")) / F.sum(w)).alias("z"))
+
+
 def outward(profile: DataFrame, centre: DataFrame, keys: list[str]) -> DataFrame:
     """Profile rows twice labelled by side ("left" at or before the centre, "right" at or after it) with k, the rank outward from it."""
     j = profile.join(centre, keys)

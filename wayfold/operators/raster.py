@@ -148,7 +148,20 @@ def by_flightline(points: DataFrame, res: float, agg: Column, cap: str | None, a
 
 
 def distance_factor(cells: DataFrame, confidence: float, distance: str = "d", by: Iterable[str] = ()) -> DataFrame:
-    """Adds f, 1 at the least distance and 1 - confidence less at the greatest, of each `by`."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(distance).over(w), F.max(distance).over(w)
-    return cells.withColumn("f", 1 - F.coalesce(F.try_divide((F.col(distance) - lo) * F.lit(float(confidence)), hi - lo), F.lit(0.0)))
+    """Adds f, 1 at the least distance and 1 - confidence less at the greatest, of each `by`; the ends are aggregated first, so no group lies in one task."""
+    keys = list(by)
+    lo, hi = F.col("_lo"), F.col("_hi")
+    span = cells.groupBy(*keys).agg(F.min(distance).alias("_lo"), F.max(distance).alias("_hi"))
+    cells = cells.join(span, keys) if keys else cells.crossJoin(F.broadcast(span))
+    return cells.withColumn("f", 1 - F.coalesce(F.try_divide((F.col(distance) - lo) * F.lit(float(confidence)), hi - lo), F.lit(0.0))).drop("_lo", "_hi")
+
+
+def flat_across(cells: DataFrame, centre: DataFrame, res: float, value: str = "v") -> DataFrame:
+    """Cells of slices with the value of the row that xc of (slice_id, xc) lies in, all across; null where that row has no cell."""
+    row = cells.join(centre.select("slice_id", F.floor(F.col("xc") / res).cast("int").alias("_cy")), "slice_id").where("cy = _cy")
+    return cells.drop(value).join(row.select("slice_id", "cx", value), ["slice_id", "cx"], "left")
+
+
+def first_cell(cells: DataFrame, value: str = "v") -> DataFrame:
+    """(slice_id, value): that of each slice's first cell, from the top and the left."""
+    return cells.groupBy("slice_id").agg(F.min_by(value, F.struct(-F.col("cy"), F.col("cx"))).alias(value))

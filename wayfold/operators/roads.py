@@ -9,10 +9,11 @@ from wayfold.functions.scalar import road_class, road_score, slice_angle, unrota
 from wayfold.params import DEFAULTS, Parameters
 
 from . import profiles as Q
+from .checks import need_columns, need_parameters
 from .conductivity import conductivity_v1
 from .lines import along, along_distances, difference_index, equal_cuts, lengths, locate, measured, sinuosity
 from .paths import least_cost_paths
-from .points import ground_model, normalize_height
+from .points import ground_model, normalize_height, with_intensity
 from .smoothing import simplified, smoothed
 from .spatial import bucket
 
@@ -61,10 +62,12 @@ def points_of_slices(points: DataFrame, slices: DataFrame, width: float, step: f
 def slice_metrics(points: DataFrame, slices: DataFrame, p: Parameters = DEFAULTS) -> DataFrame:
     """One row for each slice with points: widths, percentages, number of shoulders, and the relocated centre (x, y).
 
-    points has zn, the height over the terrain. A slice whose edges contradict one another is left out.
+    points has zn, the height over the terrain. A slice whose edges contradict one another is left
+    out (contradictory() gives those). Shares are of points below 5; zroad is the terrain in the
+    middle of the road where the slice begins, from the nearest ground points.
     """
     e = p.extraction
-    raw = cut(points_of_slices(points, slices, e.road_max_width, e.profile_resolution).select("slice_id", "pos", "xr", "z", "zn", "cls", "intensity"))
+    raw = cut(points_of_slices(points, slices, e.road_max_width, e.profile_resolution).select("slice_id", "along", "pos", "xr", "z", "zn", "cls", "intensity"))
     veg = cut(Q.vegetation_profile(raw.withColumn("z", F.col("zn"))))
     ground = cut(Q.slope_of(Q.ground_profile(raw)))
     centre = cut(Q.centreline_shift(veg))
@@ -73,11 +76,23 @@ def slice_metrics(points: DataFrame, slices: DataFrame, p: Parameters = DEFAULTS
     rescue = Q.road_edges(ground, centre, p.max_sd_ground, p.max_elevation_ground).withColumnsRenamed({"left": "rl", "right": "rr"})
     edges = centre.join(side, "slice_id", "left").join(rescue, "slice_id", "left")
     edges = edges.select("slice_id", "xc", F.when(F.col("left_embankment"), F.col("left_start")).otherwise(F.col("rl")).alias("left"), F.when(F.col("right_embankment"), F.col("right_start")).otherwise(F.col("rr")).alias("right"), (F.coalesce(F.col("left_embankment").cast("int"), F.lit(0)) + F.coalesce(F.col("right_embankment").cast("int"), F.lit(0))).alias("shoulders"))
-    edges = edges.where("left <= right")
-    drive = Q.drivable_edges(veg, edges, centre, p.max_percentage_drivable).select("slice_id", F.round("width", 1).alias("drivable_width"))
-    share = Q.slice_percentages(raw.withColumn("z", F.col("zn")), edges).select("slice_id", F.col("p05").alias("pzabove05"))
+    widths = side.select("slice_id", (F.col("right_start") - F.col("left_start")).alias("accotement_width")).join(rescue.select("slice_id", (F.col("rr") - F.col("rl")).alias("rescue_width")), "slice_id", "full")
+    edges = cut(edges.where("left <= right"))
+    drive = cut(Q.drivable_edges(veg, edges, centre, p.max_percentage_drivable))
+    over = raw.withColumn("z", F.col("zn"))
+    share = Q.slice_percentages(over, edges).select("slice_id", F.col("p05").alias("pzabove05"), F.col("p2").alias("pzabove2"))
+    inner = Q.drivable_percentages(over, edges, drive).select("slice_id", F.col("p05").alias("pzabove05_drive"), F.col("p2").alias("pzabove2_drive"))
+    drive = drive.select("slice_id", F.round("width", 1).alias("drivable_width"))
+    begin = slices.join(edges, "slice_id").select("slice_id", F.lit(0).alias("tid"), (-F.col("span") / 2).alias("tx"), F.col("xc").alias("ty"))
+    zroad = Q.inverse_distance(raw, begin).select("slice_id", F.col("z").alias("zroad"))
     x, y = unrotate(F.lit(0.0), F.col("xc"), F.col("ox"), F.col("oy"), F.col("dir"))
-    return slices.join(edges, "slice_id").join(drive, "slice_id").join(share, "slice_id").select("line_id", "slice_id", "distance", (F.col("right") - F.col("left")).alias("road_width"), "drivable_width", "pzabove05", "shoulders", x.alias("x"), y.alias("y"))
+    every = slices.join(edges, "slice_id").join(drive, "slice_id").join(share, "slice_id").join(inner, "slice_id").join(widths, "slice_id", "left").join(zroad, "slice_id", "left")
+    return every.select("line_id", "slice_id", "distance", (F.col("right") - F.col("left")).alias("road_width"), "drivable_width", "accotement_width", "rescue_width", "pzabove05", "pzabove2", "pzabove05_drive", "pzabove2_drive", "shoulders", "zroad", "xc", x.alias("x"), y.alias("y"))
+
+
+def contradictory(slices: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Slices that slice_metrics() gave no row: those without points or with edges that contradict one another, to be written apart."""
+    return slices.join(metrics.select("slice_id"), "slice_id", "left_anti")
 
 
 def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sigma: DataFrame | None = None, keep_class: int = 2, water: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,7 +103,13 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     class 0. Lines shorter than 4 slices or without points are class 0; lines without a way, or whose
     way is shorter than 4 slices, class 4. Lines over road_max_len are cut in equal pieces, and their
     means are taken over the pieces, null where one lacks the value. Line ids may be any number.
+    Raises ValueError for parameters that contradict one another or tables that lack columns; a scan
+    without intensity counts as 0 throughout.
     """
+    need_parameters(p)
+    need_columns(points, "points", "x", "y", "z", "cls")
+    need_columns(v, "lines", "line_id", "seq", "x", "y")
+    points = with_intensity(points)
     e = p.extraction
     size = lengths(v)
     n = F.floor(F.col("length") / e.road_max_len).cast("int") + 1

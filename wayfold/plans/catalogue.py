@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kernel_queries, line_queries, profile_queries, raster_queries  # noqa: F401
+from . import check_queries, kernel_queries, line_queries, profile_queries, raster_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -295,10 +295,7 @@ def best_connexion(spark, sf):
 def distance_factor(spark, sf):
     c = V.cells(spark, sf).select(F.struct("cx", "cy").alias("pid"), (F.col("cx") * 2 + 0.5).cast("double").alias("px"), (F.col("cy") * 2 + 0.5).cast("double").alias("py"))
     d = distance_to_segments(c, L.segments(V.vertices(spark, sf)), 15)
-    # one partition would hold the window over all cells, so the ends come from an aggregate
-    ends = d.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    f = 1 - F.coalesce(F.try_divide((F.col("d") - F.col("lo")) * F.lit(0.1), F.col("hi") - F.col("lo")), F.lit(0.0))
-    return d.crossJoin(F.broadcast(ends)).select("pid.cx", "pid.cy", F.round(f, 6).alias("f"))
+    return R.distance_factor(d, 0.1).select("pid.cx", "pid.cy", F.round("f", 6).alias("f"))
 
 
 @query(with_views("SELECT e.line_id, e.is_end, class, score FROM ends e LEFT JOIN roads r ON r.line_id = e.line_id AND r.class <= 2", "ends", "roads"))
