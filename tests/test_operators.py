@@ -196,3 +196,20 @@ def test_locate_at_ends_repeats_and_off_the_line(spark):
 def test_cropped_lines(spark):
     v = frame(spark, [(1, 1, -5.0, 5.0), (1, 2, 15.0, 5.0), (2, 1, 0.0, 20.0), (2, 2, 5.0, 20.0), (3, 1, 2.0, 2.0), (3, 2, 2.0, 30.0), (4, 1, -5.0, 5.0), (4, 2, 5.0, 15.0)], LINE)
     assert sorted(tuple(r) for r in L.cropped(v, 0, 0, 10, 10).collect()) == [(1, 1, 0, 5, 10, 5), (3, 1, 2, 2, 2, 10)]
+
+
+def test_near_closed_roads_have_a_smaller_buffer(spark):
+    from wayfold.operators.paths import masked
+
+    v = frame(spark, [(1, 1, 0.0, 0.0), (1, 2, 100.0, 0.0), (1, 3, 100.0, 45.0), (1, 4, 0.0, 45.0), (2, 1, 0.0, 0.0), (2, 2, 400.0, 0.0)], LINE)
+    cells = spark.range(0, 40_000).selectExpr("cast(id % 200 as int) as cx", "cast(floor(id / 200) as int) - 100 as cy", "1.0D as sigma")
+    far = {r.line_id: r.lo for r in masked(cells, v).groupBy("line_id").agg(F.min((F.col("cy") + 0.5) * 2).alias("lo")).collect()}
+    assert far == {1: -21.0, 2: -79.0}
+
+
+def test_loops_are_cut(spark):
+    v = frame(spark, [(1, 1, 5.0, 5.0), (1, 2, 65.0, 5.0), (1, 3, 65.0, 65.0), (1, 4, 5.0, 65.0), (1, 5, 5.0, 6.0)], LINE)
+    p = spark.range(0, 19_600).selectExpr("(id % 140) / 2 as x", "floor(id / 140) / 2D as y", "0D as z", "2 as cls", "1 as psid", "0 as angle")
+    roads, lines, errors = measure_roads(p, v, replace(DEFAULTS, confidence=1))
+    (r,) = roads.collect()
+    assert r.line_id == 1 and r.CLASS >= 1 and r.SINUOSITY < 2 and errors.count() == 0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.scalar import turn
 
+#: Fixed value: a line whose ends are nearer than this is a loop.
+LOOP = 2
 
 
 def along(order: str = "seq") -> WindowSpec:
@@ -73,23 +75,26 @@ def locate(v: DataFrame, at: DataFrame, from_end: bool = False, strict: bool = F
     """Points at measures: at is (line_id, k, m); gives (line_id, k, m, x, y).
 
     Measures off the line give no row, or an error with strict. With from_end they count from the
-    line's end. A measure may exceed the length by 1e-9, as sums differ by their order. Segments and measures are sorted together, so none is compared with all of the other.
+    line's end. Each line is cut in as many equal stretches as it has segments, and a measure meets
+    the segments of its own stretch only, so no line's measures meet all of its segments.
     """
     s = segments(v)
-    size = s.groupBy("line_id").agg(F.max("len").alias("len")) if from_end or strict else None
-    at = at.select("line_id", "k", "m")
-    if size is not None:
-        at = at.join(size, "line_id")
-        if strict:
-            off = (F.col("m") > F.col("len") + 1e-9) | (F.col("m") < 0)
-            at = at.withColumn("m", F.when(off, F.raise_error(F.lit("a measure lies off its line"))).otherwise(F.col("m")))
-    place = F.col("len") - F.col("m") if from_end else F.col("m")
-    marks = at.select("line_id", "k", "m", place.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double,m1:double,m2:double,len:double>").alias("s"))
-    parts = s.select("line_id", F.lit(None).cast(at.schema["k"].dataType).alias("k"), F.lit(None).cast("double").alias("m"), F.col("m1").alias("at"), F.lit(0).alias("kind"), F.col("seq").cast("bigint").alias("seq"), F.struct(*(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "m1", "m2", "len"))).alias("s"))
-    w = Window.partitionBy("line_id").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    on = parts.unionByName(marks).withColumn("s", F.last("s", ignorenulls=True).over(w)).where("kind = 1 and s is not null and at <= s.len + 1e-9")
-    t = F.coalesce(F.try_divide(F.col("at") - F.col("s.m1"), F.col("s.m2") - F.col("s.m1")), F.lit(0.0))
-    return on.select("line_id", "k", "m", (F.col("s.x1") + t * (F.col("s.x2") - F.col("s.x1"))).alias("x"), (F.col("s.y1") + t * (F.col("s.y2") - F.col("s.y1"))).alias("y"))
+    size = s.groupBy("line_id").agg(F.max("len").alias("len"), F.count("*").alias("n"))
+
+    def stretch(m: str) -> Column:
+        return F.coalesce(F.floor(F.try_divide(F.col(m) * F.col("n"), F.col("len"))), F.lit(0)).cast("bigint")
+
+    marks = at.select("line_id", "k", "m").join(size, "line_id")
+    if strict:
+        off = (F.col("m") > F.col("len") + 1e-9) | (F.col("m") < 0)
+        marks = marks.withColumn("m", F.when(off, F.raise_error(F.lit("a measure lies off its line"))).otherwise(F.col("m")))
+    marks = marks.withColumn("at", F.col("len") - F.col("m") if from_end else F.col("m")).where("at >= 0 and at <= len")
+    marks = marks.select("line_id", "k", "m", "at", stretch("at").alias("_s"))
+    parts = s.join(size.select("line_id", "n"), "line_id").withColumn("_s", F.explode(F.sequence(stretch("m1"), stretch("m2"))))
+    on = parts.join(marks, ["line_id", "_s"]).where((F.col("at") >= F.col("m1")) & ((F.col("at") < F.col("m2")) | ((F.col("at") <= F.col("m2")) & (F.col("m2") == F.col("len")))))
+    t = F.coalesce(F.try_divide(F.col("at") - F.col("m1"), F.col("m2") - F.col("m1")), F.lit(0.0))
+    first = on.groupBy("line_id", "k", "m").agg(F.min_by(F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y")), "seq").alias("p"))
+    return first.select("line_id", "k", "m", "p.x", "p.y")
 
 
 def rescaled(v: DataFrame, length: DataFrame) -> DataFrame:

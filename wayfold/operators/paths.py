@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.functions.scalar import buffer_near_closed
 from wayfold.params import DEFAULTS, Parameters
 
 from .kernels import least_cost
-from .lines import chords, locate, segments
+from .lines import LOOP, chords, locate, segments
 from .raster import CELL
 from .spatial import bucket, in_polygons
 
@@ -52,15 +53,18 @@ def masked(cells: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, res: float
     A cap is the half disc of the buffer's radius behind an end; a shield is what of the caps and of
     the end stretches' own strips lies over the radius less 6 from both ends. With water (edges of polygons as in in_polygons()), cells
     in it are left out, but for those within `bridge` of the line, which are a bridge of sigma 1.
+    A line whose ends are nearer than two buffers, and no loop, has a smaller buffer.
     """
-    buf = p.extraction.road_buffer
-    n = near_cells(cells, v, buf, res)
+    n = near_cells(cells, v, p.extraction.road_buffer, res).join(end_chords(v), "line_id")
+    apart = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    n = n.withColumn("buf", F.when(apart < LOOP, F.lit(float(p.extraction.road_buffer))).otherwise(buffer_near_closed(apart, p.extraction.road_buffer))).where("d <= buf")
+    buf = F.col("buf")
     if water is not None:
         places = cells.select(F.struct(*CELL).alias("pid"), ((F.col("cx") + 0.5) * res).alias("px"), ((F.col("cy") + 0.5) * res).alias("py"))
         wet = in_polygons(places, water).select("pid.cx", "pid.cy", F.lit(True).alias("wet")).distinct()
         n = n.join(wet, CELL, "left").where(F.col("wet").isNull() | (F.col("d") <= bridge)).withColumn("sigma", F.when(F.col("wet"), 1.0).otherwise(F.col("sigma"))).drop("wet")
     ends = n.groupBy("line_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    n = n.join(ends, "line_id").join(end_chords(v), "line_id")
+    n = n.join(ends, "line_id")
     f = 1 - F.coalesce(F.try_divide((F.col("d") - F.col("lo")) * F.lit(float(p.confidence)), F.col("hi") - F.col("lo")), F.lit(0.0))
 
     def around(e: str) -> tuple:

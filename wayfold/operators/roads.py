@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.scalar import road_class, road_score, slice_angle, unrotate
+from wayfold.functions.scalar import road_class, road_score, slice_angle, split_count, unrotate
 from wayfold.params import DEFAULTS, Parameters
 
 from . import profiles as Q
 from .checks import need_columns, need_parameters
 from .conductivity import conductivity_v1
-from .lines import along, along_distances, difference_index, equal_cuts, lengths, locate, measured, sinuosity
+from .lines import LOOP, along, along_distances, chords, difference_index, equal_cuts, lengths, locate, measured, sinuosity
 from .paths import least_cost_paths
 from .points import ground_model, normalize_height, with_intensity
 from .smoothing import simplified, smoothed
@@ -101,7 +101,7 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     roads has line_id and the eight result columns; lines the new vertices, or the given ones of
     roads of a class over keep_class or unknown; errors the lines whose search failed, which are
     class 0. Lines shorter than 4 slices or without points are class 0; lines without a way, or whose
-    way is shorter than 4 slices, class 4. Lines over road_max_len are cut in equal pieces, and their
+    way is shorter than 4 slices, class 4. Lines over road_max_len are cut in equal pieces, loops in two at least, and their
     means are taken over the pieces, null where one lacks the value. Line ids may be any number.
     Raises ValueError for parameters that contradict one another or tables that lack columns; a scan
     without intensity counts as 0 throughout.
@@ -112,8 +112,9 @@ def measure_roads(points: DataFrame, v: DataFrame, p: Parameters = DEFAULTS, sig
     points = with_intensity(points)
     e = p.extraction
     size = lengths(v)
-    n = F.floor(F.col("length") / e.road_max_len).cast("int") + 1
-    known = size.where(F.col("length") >= 4 * e.section_length).select(F.col("line_id").alias("owner"), n.alias("pieces"))
+    shape = size.where(F.col("length") >= 4 * e.section_length).join(chords(v), "line_id")
+    loop = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) < LOOP
+    known = shape.select(F.col("line_id").alias("owner"), split_count(F.col("length"), e.road_max_len, loop).alias("pieces"))
     # pieces get numbers of their own, small enough to number their slices by; a checkpoint fixes them
     keys = known.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     keys = cut(keys.repartition(64, "owner").withColumn("piece", F.monotonically_increasing_id()))
