@@ -3,8 +3,11 @@ import random
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from wayfold.llm import simhash
 from wayfold.llm.simhash import keep_one
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,3 +148,49 @@ def test_recall_on_planted_pairs(spark):
     found = [k for k in alike if 2 * k + 1 not in kept]
     assert len(found) == len(alike), f"{len(found)} of {len(alike)}"
     assert len(kept) == 1200 - len(alike)
+
+
+def brute_classes(rows, radius=3):
+    """Components of the links of Jaccard similarity 0.8 or more within classes of SimHash fingerprints, by least row."""
+    sets = [shingles(t) for _, t in rows]
+    prints = []
+    for s in sets:
+        h = [xxhash.xxh64_intdigest(" ".join(x), 42) for x in s]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+
+    def joined(link):
+        comp = list(range(len(rows)))
+        for k in range(len(rows)):
+            for j in range(k):
+                if comp[k] != comp[j] and link(j, k):
+                    low, high = sorted((comp[j], comp[k]))
+                    comp = [low if c == high else c for c in comp]
+        return comp
+
+    near = joined(lambda j, k: (prints[j] ^ prints[k]).bit_count() <= radius)
+    return joined(lambda j, k: near[j] == near[k] and len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]))
+
+
+def test_simhash_gives_the_first_links(spark, monkeypatch):
+    rows = near_rows() + [(1000 + k, " ".join([f"line{i}" for i in range(11)] * 40 + [f"own{k}x{i}" for i in range(60)])) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    plain = simhash.simhash_links
+    monkeypatch.setattr(simhash, "simhash_links", lambda *a: found.append(plain(*a)) or found[0])
+    keep_one(df).collect()
+    node = {simhash.set_node(simhash.shingle_set(t, 5)): k for k, (_, t) in reversed(list(enumerate(rows)))}
+    comp = [node[simhash.set_node(simhash.shingle_set(t, 5))] for _, t in rows]
+    for r in found[0].collect():
+        low, high = sorted((comp[node[r.a]], comp[node[r.b]]))
+        comp = [low if c == high else c for c in comp]
+    assert comp == brute_classes(rows)
+    assert len({comp[k] for k in range(len(rows))}) < len({t for _, t in rows})
+
+
+def test_few_files_hold_the_links(spark, tmp_path):
+    """Many tasks make few rows: they are not to be written in a file each."""
+    from wayfold.llm.store import gathered
+
+    df = spark.range(0, 1000, 1, 100).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    assert len(gathered(df, "links").inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert gathered(df, "links").count() == 1000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +14,18 @@ def _sign(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """(a, b) long pairs -> (node, root) for each node that has a link; root is its component's least node.
 
     Large star: a node's greater neighbours take its least neighbour. Small star: its lesser
     neighbours do. Each is a grouped minimum, which combines before the shuffle, and an equi-join of
     links with one row a node; a hub's links are rows, never one list, and adaptive skew joins deal
     them out over tasks. The number of rounds grows with the logarithm of the
-    number of nodes. Every round is written to the shared folder. Loops and nulls are dropped;
+    number of nodes. Every round is written to the shared folder by
+    `keep`. Loops and nulls are dropped;
     repeated and reversed pairs count once; no pairs give no rows.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     sign = _sign(now)
     while sign[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -30,10 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialise(small, "links")
+        after = keep(small, "links")
+        before, sign = sign, _sign(after)
         discard(now)
-        before, now = sign, after
-        sign = _sign(now)
+        now = after
         if sign == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

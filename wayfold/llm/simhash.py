@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle, and alike texts by an exact prefix filter."""
+"""SimHash near-duplicates by the generalised pigeonhole principle; alike texts by SimHash, and by an exact prefix filter those that it leaves apart."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .groups import deal, together, unite, whole_groups
-from .store import discard, materialise, small_batches
+from .store import discard, gathered, materialise, small_batches
 from .words import tidy
 
 SEED = 42
@@ -31,11 +31,15 @@ def fingerprint(text: str | None, words: int) -> int:
         return 0
     n = max(1, len(ws) - words + 1)
     shingles = [b" ".join(ws)] if n == 1 else map(b" ".join, zip(*(ws[i:] for i in range(words))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits; bit i is set if it is set in over half of h."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,12 +274,13 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, node, size, sig, prefix): two texts that are as similar share a shingle of their prefixes.
+    """(doc_id, node, fp, size, sig, prefix): two texts that are as similar share a shingle of their prefixes.
 
     The prefix filter: in one order of all shingles, sets of n shingles with a Jaccard similarity of
     at least s share one of the first n - ceil(s n) + 1 of each. Any order does; common shingles
     come last, so that few texts share a prefix's shingle without being alike. sig counts the set's
-    shingles in 64 buckets, 255 at most in each.
+    shingles in 64 buckets, 255 at most in each; fp is the SimHash of the set, each shingle once, so
+    that a line that a text repeats does not decide it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -283,10 +288,11 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = sent.value
         for b in batches:
-            nodes, sizes, sigs, out = [], [], [], []
+            nodes, prints, sizes, sigs, out = [], [], [], [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), words)
                 nodes.append(set_node(s))
+                prints.append(majority(s))
                 sizes.append(len(s))
                 sigs.append(np.minimum(np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes())
                 p = len(s) - ceil(similarity * len(s) - 1e-9) + 1
@@ -294,10 +300,10 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")]
                 out.append(s[:p].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "size", "sig", "prefix"])
         tidy()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, size int, sig binary, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, node long, fp long, size int, sig binary, prefix array<long>")
 
 
 def spanning_links(sets: list[np.ndarray], comp: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -428,30 +434,46 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFr
                 yield b.select(["a", "b"]).filter(pa.array((np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= most))
 
     sides = pairs.join(counts.select(F.col("node").alias("a"), F.col("wide").alias("x"), F.col("size").alias("p")), "a").join(counts.select(F.col("node").alias("b"), F.col("wide").alias("y"), F.col("size").alias("q")), "b")
-    pairs = materialise(sides.select("a", "b", "x", "y", (F.col("p") + F.col("q")).alias("total")).mapInArrow(run, "a long, b long"), "pairs")
+    pairs = gathered(sides.select("a", "b", "x", "y", (F.col("p") + F.col("q")).alias("total")).mapInArrow(run, "a long, b long"), "pairs")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, cap: int) -> DataFrame:
-    """(node, root) for each of nodes (node, size, sig, prefix) that links: components of all links, none left out.
+def simhash_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, cap: int, radius: int) -> DataFrame:
+    """(a, b): links that join those of nodes (node, fp) that are alike and that fingerprints within the radius lead to, one from another.
+
+    All texts of a class of fingerprints are compared by their sets, not just those whose
+    fingerprints are near: within a class no link is missed, and none is taken unseen.
+    """
+    prints = gathered(nodes.select("fp").distinct(), "prints")
+    classes = connected_components(near_links(prints, radius), gathered).withColumnRenamed("node", "fp")
+    keyed = nodes.select("node", "fp").distinct().join(classes, "fp", "left").select("node", F.coalesce("root", "fp").alias("key"))
+    several = keyed.groupBy("key").count().where("count > 1").select("key")
+    rows = gathered(keyed.join(several, "key").select("key", "node", F.col("node").alias("comp")), "classes")
+    return verified_links(rows, materialise(sets_of(rows.select("node")), "shingles"), similarity, cap)
+
+
+def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, cap: int, radius: int) -> DataFrame:
+    """(node, root) for each of nodes (node, fp, size, sig, prefix) that links: components of all links, none left out.
 
-    Candidates of keys with few are pairs, each compared once. Of the other keys each node at first
-    goes to one only, that with most nodes, which joins most of what is alike; keys whose nodes are
-    joined by then are settled. All the rest are compared at last.
+    SimHash joins most of what is alike. The prefix filter then finds what it leaves apart: links
+    between texts that are of different components by then. Of its keys, those with few candidates
+    make pairs, each compared once. Of the other keys each node at first goes to one only, that with
+    most nodes; keys whose nodes are joined by then are settled. All the rest are compared at last.
     """
+    joined = gathered(connected_components(simhash_links(nodes, sets_of, similarity, cap, radius), gathered), "joined")
     keys = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
-    shared = materialise(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
+    shared = gathered(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
     # few of all keys as a rule: then the others leave before they are shuffled
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    rows = keys.join(shared, "key").join(nodes.select("node", "size", "sig").dropDuplicates(["node"]), "node").withColumn("comp", F.col("node"))
-    found = materialise(may_link(rows, similarity), "candidates")
-    wanted = materialise(found.select("node").union(found.where("other is not null").select("other")).distinct(), "wanted")
+    known = nodes.select("node", "size", "sig").dropDuplicates(["node"]).join(joined, "node", "left").select("node", "size", "sig", F.coalesce("root", "node").alias("comp"))
+    found = materialise(may_link(keys.join(shared, "key").join(known, "node"), similarity), "candidates")
+    wanted = gathered(found.select("node").union(found.where("other is not null").select("other")).distinct(), "wanted")
     n, sets = wanted.count(), materialise(sets_of(wanted), "shingles")
-    links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for k in range(ROUNDS + 1):
-        pairs = materialise(found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+        pairs = gathered(found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
         links = links.unionByName(linked_pairs(pairs, sets, similarity))
         dense = materialise(found.where("other is null").groupBy("key", "node").agg(*(F.first(c).alias(c) for c in ("pos", "size", "sig", "comp")), F.max("n").alias("n")), "dense")
         total = dense.count()
@@ -459,10 +481,9 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         if total:
             some = dense if last else dense.groupBy("node").agg(F.max(F.struct("n", "key", "comp")).alias("x")).select("x.key", "node", "x.comp")
             links = links.unionByName(verified_links(some.select("key", "node", "comp"), sets, similarity, cap))
-        roots = connected_components(links)
+        roots = gathered(connected_components(links, gathered), "roots")
         if last:
             break
-        roots = materialise(roots, "roots")
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         now = dense.drop("n", "comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         discard(found)
@@ -470,13 +491,14 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     return roots
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = SETS_CAP) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int = SETS_CAP, radius: int = 3) -> DataFrame:
     """The rows of docs less near-duplicates: of each group of alike texts the one with the least doc_id stays.
 
     Two texts are alike if their sets of different `words`-word shingles have a Jaccard similarity of
-    at least `similarity`; groups are joined by all such pairs. An exact prefix filter finds them, so
-    none is missed and none is taken without a comparison (shingles and equal sets are told by 64-bit
-    hashes). Rows of a null id all stay; of rows that repeat an id, one stays.
+    at least `similarity`; groups are joined by all such pairs. Classes of SimHash fingerprints of
+    the sets, linked within `radius` bits, give the first candidates, an exact prefix filter those
+    between texts that these leave apart, so none is missed and none is taken without a comparison
+    (shingles and equal sets are told by 64-bit hashes). Rows of a null id all stay; of rows that repeat an id, one stays.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -491,10 +513,10 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int
 
     first = nodes.select("node", F.col("least").alias("doc_id"))
     sets = prints.join(F.broadcast(first) if few else first, ["node", "doc_id"], "left_semi")
-    roots = similar_components(sets, sets_of, similarity, cap).withColumnRenamed("node", "of")
+    roots = similar_components(sets, sets_of, similarity, cap, radius).withColumnRenamed("node", "of")
     of = nodes.join(roots, nodes.node == roots.of, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    to = materialise(of.join(of.groupBy("root").agg(F.min("least").alias("kept")), "root").select("node", "kept"), "kept")
-    gone = materialise(prints.join(to, "node").where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    to = gathered(of.join(of.groupBy("root").agg(F.min("least").alias("kept")), "root").select("node", "kept"), "kept")
+    gone = gathered(prints.join(to, "node").where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if prints.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1):
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
