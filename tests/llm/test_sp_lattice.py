@@ -98,3 +98,20 @@ def test_two_hashes_are_spark_s(spark):
     for r in df.collect():
         a, b = (sp.xxhash.xxh64_intdigest(r.unit.encode(), s) for s in sp.SEEDS)
         assert (r.h % 2**64, r.g) == (a, b % 2**32)
+
+
+def test_edges_are_folded_as_they_come(spark):
+    """No grouping holds the edges as objects, and no unit is torn where a fold or a batch ends."""
+    p = sp.pieces_of(PATH)
+    units = ["▁" + u for u in ("the", "a" * 70, "漢", "Übergangsregelung" * 9, "thingonst", "x")] * 3
+    plain = {u: merged(u, p) for u in units}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = lattice(rows_of(spark, units), p)
+        assert "ObjectHashAggregate" not in found._jdf.queryExecution().toString()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.unit for r in got) == sorted(units)
+    assert all(r.ids == plain[r.unit] for r in got)

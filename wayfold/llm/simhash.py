@@ -475,7 +475,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     for k in range(ROUNDS + 1):
         pairs = gathered(found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
         links = links.unionByName(linked_pairs(pairs, sets, similarity))
-        dense = materialise(found.where("other is null").groupBy("key", "node").agg(*(F.first(c).alias(c) for c in ("pos", "size", "sig", "comp")), F.max("n").alias("n")), "dense")
+        dense = gathered(found.where("other is null").groupBy("key", "node").agg(*(F.first(c).alias(c) for c in ("pos", "size", "sig", "comp")), F.max("n").alias("n")), "dense")
         total = dense.count()
         last = k == ROUNDS or total <= 2 * n
         if total:
@@ -503,7 +503,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, cap: int
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     prints = materialise(prefixes(rows, words, similarity), "prefixes")
-    nodes = materialise(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = gathered(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     few = nodes.count() <= BROADCAST_IDS
 
     def sets_of(wanted: DataFrame) -> DataFrame:

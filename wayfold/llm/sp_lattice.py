@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
 
@@ -26,10 +26,12 @@ BROADCAST_BYTES = 120_000_000
 UNIT_BYTES, ID_BYTES = 16, 4
 #: Units that a task counts before it passes them on, and bytes of text that it cuts at once.
 COUNTED, AT_ONCE = 400_000, 1_000_000
-#: Units whose lattices one task holds, and places of a unit that share a map of edges; more than a piece's characters.
+#: Units whose lattices one task makes, and places of a unit that are looked at through one window.
 PART_UNITS, STARTS = 20_000, 32
-#: A number that no piece has. A symbol on a piece's way is packed as number * WAY + length.
-NEVER, WAY = 1 << 24, 64
+#: Edges in an Arrow batch, and those that are folded at once, of whole units.
+BATCH, EDGES = 20_000, 200_000
+#: A number that no piece has.
+NEVER = 1 << 24
 
 
 @dataclass
@@ -202,51 +204,33 @@ def count_units(texts: DataFrame, cut: Cut) -> DataFrame:
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), then), 0)
+class Fold:
+    """The tokens of many units at once, from the edges of their lattices; what it holds of the pieces is small enough for every task.
 
-
-def _div(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b)).cast("int")
-
-
-class Lattice:
-    """Columns over a unit's edges, in maps of (edge -> what the piece table says) for each STARTS ends, with the edges of the STARTS ends before.
-
-    An edge is known by end * (2 longest + 1) + 2 longest - length, so that in order those of one
-    end follow one another, long ones first, and two pieces' length together is told apart. A token is its length + (longest + 1) * (id + 1), where one
-    character has no id yet.
+    Units lie one after another: one of n characters has n + 1 places, and an edge is known by the
+    place where it ends and its length. A step takes the next edge of every unit.
     """
 
-    def __init__(self, p: Pieces, maps: Column, n: Column) -> None:
-        self.p, self.maps, self.n, self.base = p, maps, n, p.longest + 1
-        self.two = 2 * p.longest
-
-    def key(self, end: Column, length: Column | int) -> Column:
-        return end * (self.two + 1) + self.two - length
-
-    def edges(self, m: Column) -> Column:
-        """The edges of m's own ends and of over one character, in order: their end, start, symbols on the way and token."""
-
-        def told(key: Column) -> Column:
-            end, length = _div(key, self.two + 1), self.two - key % (self.two + 1)
-            return _let(m.edges[key], lambda x: F.struct(end.alias("end"), (end - length).alias("at"), (length + self.base * (x.id + 1)).alias("token"), x.begins.alias("begins")))
-
-        own = F.filter(F.map_keys(m.edges), lambda key: (key >= (m.w * STARTS + 1) * (self.two + 1)) & (key % (self.two + 1) != self.two - 1))
-        return F.transform(F.sort_array(own), told)
-
-    def path(self, best: Column) -> Column:
-        """The tokens from the last one before each end back to the start, in order; ends beyond `best` follow one character."""
+    def __init__(self, p: Pieces) -> None:
+        self.longest, self.unigram, self.none = p.longest, p.unigram, len(p.rank)
+        order = sorted(p.rank, key=p.rank.get)
+        self.ids = np.array([p.ids[s] for s in order], dtype=np.int32)
+        self.score = np.array([p.score[s] for s in order])
+        self.low = min(p.score.values(), default=0.0) - 10
+        self.chars = {s: p.rank[s] for s in order if len(s) == 1}
+        self.byte, self.unknown = p.byte, p.unknown
+        # the last place is that of one character, which no greater symbol takes up
+        ways = [([], [])] * self.none if p.unigram else [p.spines.get(s, ([], [])) for s in order]
+        self.begins, self.ends = (self._lists([*(w[side] for w in ways), [(1, NEVER)]]) for side in (0, 1))
 
-        def back(acc: Column, _: Column) -> Column:
-            return F.when(acc.at > 0, _let(F.coalesce(F.get(best, acc.at), F.lit(1)), lambda t: F.struct((acc.at - t % self.base).cast("int").alias("at"), F.concat(acc.out, F.array(t)).alias("out")))).otherwise(acc)
-
-        start = F.struct(self.n.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.reverse(F.aggregate(F.sequence(F.lit(1), self.n), start, back, lambda acc: acc.out))
+    @staticmethod
+    def _lists(ways: list[list[tuple[int, int]]]) -> tuple[np.ndarray, ...]:
+        """Where each list begins, how long it is, and the lengths and numbers of all."""
+        size = np.array([len(w) for w in ways])
+        return np.cumsum(size) - size, size, np.array([k for w in ways for k, _ in w], dtype=np.int32), np.array([r for w in ways for _, r in w], dtype=np.int32)
 
-    def merges(self) -> Column:
-        """The last token before each end, as BPE gives it: Viterbi with one survivor an end.
+    def merges(self, base: np.ndarray, unit: np.ndarray, end: np.ndarray, size: np.ndarray, number: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+        """By place, the number and the length of the last token before it, as BPE gives it: Viterbi with one survivor an end.
 
         The BPE tokens of a text are the one path on which any two neighbours alone would be merged
         to themselves. So the last token before an end is that edge whose left neighbour, the last
@@ -254,108 +238,137 @@ class Lattice:
         the edge would have been merged before both are taken up by greater ones (of one level the
         left merge is first). Where no longer edge fits, it is one character.
         """
-        one = F.array(F.lit(NEVER * WAY + 1))
-
-        def apart(m: Column, before: Column, edge: Column) -> Column:
-            """Whether no symbols of the token before the edge and of the edge merge across its start."""
-            ends = F.when(before < self.base, one).otherwise(m.edges[self.key(edge.at, before % self.base)].ends)
-            middle = self.key(edge.at, 0)  # the edge from at - x to at + y is known by this + y * 2 longest - x
-            # packed numbers compare as numbers do, for the first in the comparison has no length
-            crossed = F.exists(ends, lambda x: _let(middle - x.bitwiseAND(WAY - 1), lambda k: F.exists(edge.begins, lambda y: m.edges[k + y.bitwiseAND(WAY - 1) * self.two].number <= F.least(x, y))))
-            return F.coalesce(~crossed, F.lit(True))
-
-        def step(m: Column, acc: Column, edge: Column) -> Column:
-            fits = (F.size(acc) <= edge.end) & ((edge.at == 0) | apart(m, F.coalesce(F.get(acc, edge.at), F.lit(1)), edge))
-            return F.when(fits, F.concat(acc, F.array_repeat(F.lit(1), edge.end - F.size(acc)), F.array(edge.token))).otherwise(acc)
-
-        return F.aggregate(self.maps, F.array(F.lit(0)), lambda acc, m: F.aggregate(self.edges(m), acc, lambda inner, edge: step(m, inner, edge)))
-
-    def best(self) -> Column:
-        """The last token before each end on the way of greatest score: Viterbi over a unigram model's scores."""
-        low = min(self.p.score.values(), default=0.0) - 10
-
-        def step(acc: Column, e: Column) -> Column:
-            edges = F.get(self.maps, _div(e - 1, STARTS)).edges
-
-            def way(k: Column) -> Column:
-                x = edges[self.key(e, k)]
-                score = F.when(k > 1, x.score).otherwise(F.coalesce(x.score, F.lit(low)))
-                return F.struct((F.get(acc, e - k).score + score).alias("score"), (-k).alias("k"), F.when(k > 1, k + self.base * (x.id + 1)).otherwise(F.lit(1)).alias("token"))
-
-            ways = F.filter(F.transform(F.sequence(F.lit(1), F.least(e, F.lit(self.p.longest))), way), lambda x: x.score.isNotNull())
-            return F.concat(acc, F.array(F.array_max(ways)))
-
-        first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("k"), F.lit(0).alias("token")))
-        return F.aggregate(F.sequence(F.lit(1), self.n), first, step, lambda acc: F.transform(acc, lambda x: x.token))
-
-    def ids(self, tokens: Column) -> Column:
-        """The ids of tokens; a character that is no piece has those of its bytes."""
-        latin = F.split(F.lit(",".join(str(self.p.ids.get(chr(c), -1)) for c in range(self.few()))), ",").cast("array<int>")
-
-        def one(at: Column) -> Column:
-            char = F.col("unit").substr(at + 1, F.lit(1))
-            if self.p.byte:
-                code, byte = F.hex(F.encode(char, "UTF-8")), F.array(*map(F.lit, self.p.byte))
-                bare = F.transform(F.sequence(F.lit(1), _div(F.length(code), 2)), lambda k: F.get(byte, F.conv(code.substr(2 * k - 1, F.lit(2)), 16, 10).cast("int")))
-            else:
-                bare = F.array(F.lit(self.p.unknown))
-            far = F.coalesce(F.get(self.maps, _div(at, STARTS)).edges[self.key(at + 1, 1)].id, F.lit(-1))
-            known = F.when(F.ascii(char) < self.few(), F.get(latin, F.ascii(char))).otherwise(far) if self.few() else far
-            return _let(known, lambda i: F.when(i >= 0, F.array(i)).otherwise(bare))
-
-        def step(acc: Column, t: Column) -> Column:
-            own = F.when(t > self.base, F.array(_div(t, self.base) - 1)).otherwise(one(acc.at))
-            return F.struct((acc.at + t % self.base).cast("int").alias("at"), F.concat(acc.ids, own).alias("ids"))
-
-        return F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids")), step, lambda acc: acc.ids)
-
-    def few(self) -> int:
-        """Characters of code points under this are no edges: a short list says their ids, and BPE never asks for their scores."""
-        return 0 if self.p.unigram else 592
+        across = np.full((places, self.longest + 1), NEVER + 1, dtype=np.int32)  # no edge is over all numbers
+        across[end, size] = number
+        last, length = np.full(places, self.none), np.ones(places, dtype=np.int64)
+        order = np.argsort(end * (self.longest + 1) + self.longest - size)
+        turn = np.arange(len(order)) - np.searchsorted(unit[order], np.arange(len(base)))[unit[order]]
+        order = order[np.argsort(turn, kind="stable")]
+        reach = np.concatenate([[0], np.cumsum(np.bincount(turn))])
+        for lo, hi in zip(reach[:-1].tolist(), reach[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            own = own[last[end[own]] == self.none]
+            at = end[own] - size[own]
+            fits = np.ones(len(own), dtype=bool)
+            inner = np.flatnonzero(at > base[unit[own]])
+            fits[inner] = ~self._crossed(across, last[at[inner]], number[own[inner]], at[inner])
+            own = own[fits]
+            last[end[own]], length[end[own]] = number[own], size[own]
+        return last, length
+
+    def _crossed(self, across: np.ndarray, before: np.ndarray, edge: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether symbols of the token before an edge and of the edge merge across its start."""
+        (lx, nx, kx, rx), (ly, ny, ky, ry) = self.ends, self.begins
+        pairs = nx[before] * ny[edge]
+        row = np.repeat(np.arange(len(at)), pairs)
+        step = np.arange(len(row)) - (np.cumsum(pairs) - pairs)[row]
+        x, y = lx[before][row] + step // ny[edge][row], ly[edge][row] + step % ny[edge][row]
+        both = kx[x] + ky[y]
+        met = (both <= self.longest) & (across[at[row] + ky[y], np.minimum(both, self.longest)] <= np.minimum(rx[x], ry[y]))
+        return np.bincount(row[met], minlength=len(at)) > 0
+
+    def best(self, base: np.ndarray, n: np.ndarray, codes: np.ndarray, end: np.ndarray, size: np.ndarray, number: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+        """By place, the number and the length of the last token on the way of greatest score before it, of equal ones the shortest: Viterbi over a unigram model's scores."""
+        across = np.full((places, self.longest + 1), self.none)
+        across[end, size] = number
+        score = np.append(self.score, -np.inf)
+        kinds, kind = np.unique(codes, return_inverse=True)
+        one = np.array([self.score[self.chars[chr(c)]] if chr(c) in self.chars else self.low for c in kinds.tolist()])[kind]
+        last, length, total = np.full(places, self.none), np.ones(places, dtype=np.int64), np.zeros(places)
+        for e in range(1, int(n.max(initial=0)) + 1):
+            unit = np.flatnonzero(n >= e)
+            at = base[unit] + e
+            total[at] = total[at - 1] + one[at - unit - 1]
+            for k in range(2, min(e, self.longest) + 1):
+                way = total[at - k] + score[across[at, k]]
+                better = way > total[at]
+                total[at[better]], length[at[better]], last[at[better]] = way[better], k, across[at[better], k]
+        return last, length
+
+    def encode(self, units: pa.Array, unit: np.ndarray, end: np.ndarray, size: np.ndarray, number: np.ndarray) -> pa.ListArray:
+        """The ids of units, by edges that end after so many characters of unit number `unit`; a character that is no piece has the ids of its bytes."""
+        codes = np.frombuffer("".join(units.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+        n = pc.utf8_length(units).to_numpy().astype(np.int64)
+        base = np.cumsum(n + 1) - (n + 1)
+        end, places = base[unit] + end, int((n + 1).sum())
+        last, length = self.best(base, n, codes, end, size, number, places) if self.unigram else self.merges(base, unit, end, size, number, places)
+        now, of, found = base + n, np.arange(len(n)), []
+        while now.size:
+            found.append((now, of))
+            now = now - length[now]
+            left = now > base[of]
+            now, of = now[left], of[left]
+        at, of = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        order = np.argsort(at)
+        at, of = at[order], of[order]
+        token = last[at]
+        bare = np.flatnonzero(token == self.none)
+        kinds, kind = np.unique(codes[at[bare] - of[bare] - 1], return_inverse=True)
+        lists = [self._char(chr(c)) for c in kinds.tolist()]
+        token[bare] += kind
+        many = np.concatenate([np.ones(self.none, dtype=np.int64), np.array([len(x) for x in lists], dtype=np.int64)])
+        flat = np.concatenate([self.ids, np.array([i for x in lists for i in x], dtype=np.int32)])
+        out = np.concatenate([[0], np.cumsum(np.bincount(of, weights=many[token], minlength=len(n)).astype(np.int64))])
+        return pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(_runs(flat, (np.cumsum(many) - many)[token], many[token])))
+
+    def _char(self, c: str) -> list[int]:
+        if c in self.chars:
+            return [int(self.ids[self.chars[c]])]
+        return [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
 
 
 def piece_table(units: DataFrame, p: Pieces) -> DataFrame:
-    """(piece, x): what edges need of each piece, as many rows as the vocabulary has; its number is packed, the symbols on its way as Pieces.spines says."""
-    if p.longest >= WAY:
-        raise ValueError(f"pieces of {WAY} or more characters are not handled")
-
-    def packed(way: list[tuple[int, int]]) -> list[int]:
-        return [r * WAY + k for k, r in way]
-
-    if p.unigram:
-        return units.sparkSession.createDataFrame([(s, (p.ids[s], p.score[s])) for s in p.rank], "piece string, x struct<id:int,score:double>")
-    rows = [(s, (p.ids[s], number * WAY, *map(packed, p.spines.get(s, ([], []))))) for s, number in p.rank.items() if len(s) == 1 or s in p.spines]
-    return units.sparkSession.createDataFrame(rows, "piece string, x struct<id:int,number:int,begins:array<int>,ends:array<int>>")
+    """(piece, x): the numbers of the pieces of two or more characters that can be edges."""
+    return units.sparkSession.createDataFrame([(s, number) for s, number in p.rank.items() if len(s) > 1 and (p.unigram or s in p.spines)], "piece string, x int")
 
 
 def lattice(units: DataFrame, p: Pieces) -> DataFrame:
     """(unit, n, ids) of units (uid, unit, n); rows of a uid are to be in one partition.
 
     Each unit's substrings of up to the longest piece's length are exploded and equi-joined to the
-    piece table, whose size the vocabulary bounds. The edges that are found are grouped by unit and
-    folded. A unit is looked at through windows of STARTS places, so that a long one costs as much a
-    character as a short one. Empty units give no row.
+    piece table, whose size the vocabulary bounds. The edges that are found are folded, those of
+    many units at once; neither the explosion nor the join with a broadcast table moves rows, so that
+    a unit's edges follow its first row. A unit is looked at through windows of STARTS places, so
+    that a long one costs as much a character as a short one. Empty units give no row.
     """
     length = F.length("unit")
-    views = units.where(length > 0).select("uid", "unit", "n", _div(length - 1, STARTS).alias("last"), F.explode(F.sequence(F.lit(0), _div(length - 1, STARTS))).alias("w"))
+    views = units.where(length > 0).select("unit", "n", F.explode(F.sequence(F.lit(0), F.call_function("div", length - 1, F.lit(STARTS)).cast("int"))).alias("w"))
     views = views.withColumn("part", F.col("unit").substr(F.col("w") * STARTS + 1, F.lit(STARTS + p.longest - 1)))
     starts = views.withColumn("s", F.explode(F.sequence(F.lit(0), F.least(F.lit(STARTS), F.length("part")) - 1)))
-    way = Lattice(p, F.col("m"), length)
-    # the row of length 1 at the first place keeps a window's place, and in the first one the unit
-    far = F.ascii(F.col("part").substr(F.col("s") + 1, F.lit(1))) >= way.few()
-    least = F.when((F.col("s") == 0) | far, 1).otherwise(2)
-    spans = starts.withColumn("k", F.explode(F.sequence(least, F.greatest(F.least(F.lit(p.longest), F.length("part") - F.col("s")), least))))
-    first = (F.col("s") == 0) & (F.col("k") == 1)
-    spans = spans.select("uid", "w", (F.col("w") * STARTS + F.col("s") + F.col("k")).alias("e"), "k", F.when(first & (F.col("w") == 0), F.struct("unit", "n")).alias("u"), "last", first.alias("first"), F.col("part").substr(F.col("s") + 1, F.col("k")).alias("piece"))
-    found = spans.join(F.broadcast(piece_table(units, p)), "piece", "left").where("first or x is not null")
-    own = F.when(F.col("first"), F.col("w")).otherwise(_div(F.col("e") - 1, STARTS))
-    found = found.withColumn("w", F.explode(F.when(own >= F.col("last"), F.array(own)).otherwise(F.array(own, own + 1))))
-    entry = F.when(F.col("x").isNotNull(), F.struct(way.key(F.col("e"), F.col("k")).alias("key"), "x"))
-    maps = found.groupBy("uid", "w").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"), F.max("u").alias("u"))
-    whole = maps.groupBy("uid").agg(F.collect_list(F.struct("w", "edges")).alias("m"), F.max("u").alias("u")).select("u.unit", "u.n", F.array_sort("m", lambda a, b: a.w - b.w).alias("m"))
-    # bound once each: an inlined fold would be done again for every step of the next
-    ids = _let(way.best() if p.unigram else way.merges(), lambda best: _let(way.path(best), way.ids))
-    return whole.select("unit", "n", ids.alias("ids"))
+    # the row of length 1 at the first place keeps the unit
+    least = F.when((F.col("w") == 0) & (F.col("s") == 0), 1).otherwise(2)
+    most = F.least(F.lit(max(p.longest, 1)), F.length("part") - F.col("s"))
+    spans = starts.where(most >= least).withColumn("k", F.explode(F.sequence(least, most)))
+    first = F.col("k") == 1
+    spans = spans.select((F.col("w") * STARTS + F.col("s") + F.col("k")).alias("e"), "k", F.when(first, F.col("unit")).alias("unit"), F.when(first, F.col("n")).alias("n"), F.col("part").substr(F.col("s") + 1, F.col("k")).alias("piece"))
+    found = spans.join(F.broadcast(piece_table(units, p)), "piece", "left").where("k = 1 or x is not null").select("e", "k", "unit", "n", "x")
+    fold = Fold(p)
+
+    def folded(t: pa.Table) -> pa.RecordBatch:
+        e, k = (t.column(c).to_numpy().astype(np.int64) for c in ("e", "k"))
+        at = np.flatnonzero(k == 1)
+        edges = np.flatnonzero(k > 1)
+        unit, n = (t.column(c).take(pa.array(at)).combine_chunks() for c in ("unit", "n"))
+        number = pc.fill_null(t.column("x"), 0).to_numpy()[edges]
+        ids = fold.encode(unit, np.searchsorted(at, edges) - 1, e[edges], k[edges], number)
+        return pa.RecordBatch.from_arrays([unit, n, ids], names=["unit", "n", "ids"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            if rows + b.num_rows > EDGES and (begins := np.flatnonzero(b.column("k").to_numpy() == 1)).size:
+                yield folded(pa.Table.from_batches([*held, b.slice(0, int(begins[-1]))]))
+                b = b.slice(int(begins[-1]))
+                held, rows = [], 0
+            held.append(b)
+            rows += b.num_rows
+        if rows:
+            yield folded(pa.Table.from_batches(held))
+        held.clear()
+        tidy()
+
+    return found.mapInArrow(run, "unit string, n long, ids array<int>")
 
 
 def unit_table(texts: DataFrame, p: Pieces) -> DataFrame:
@@ -364,9 +377,9 @@ def unit_table(texts: DataFrame, p: Pieces) -> DataFrame:
     counted = materialise(count_units(texts, p.cut()).withColumn("uid", F.monotonically_increasing_id()), "counted")
     # by number, for small rows become many: a part is not to grow with the table
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.count() // PART_UNITS + 1)
-    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(3 * PART_UNITS))  # a task's units are few enough to be grouped by hash
+    spark.conf.set(key, str(BATCH))  # rows of an edge are short
     try:
         table = materialise(lattice(counted.repartition(parts, "uid"), p), "units")
     finally:
