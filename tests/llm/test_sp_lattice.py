@@ -108,7 +108,7 @@ def test_edges_are_folded_as_they_come(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        found = lattice(rows_of(spark, units), p)
+        found = lattice(rows_of(spark, units), p, at_once=7)
         assert "ObjectHashAggregate" not in found._jdf.queryExecution().toString()
         got = found.collect()
     finally:

@@ -322,7 +322,7 @@ def piece_table(units: DataFrame, p: Pieces) -> DataFrame:
     return units.sparkSession.createDataFrame([(s, number) for s, number in p.rank.items() if len(s) > 1 and (p.unigram or s in p.spines)], "piece string, x int")
 
 
-def lattice(units: DataFrame, p: Pieces) -> DataFrame:
+def lattice(units: DataFrame, p: Pieces, at_once: int = EDGES) -> DataFrame:
     """(unit, n, ids) of units (uid, unit, n); rows of a uid are to be in one partition.
 
     Each unit's substrings of up to the longest piece's length are exploded and equi-joined to the
@@ -357,7 +357,7 @@ def lattice(units: DataFrame, p: Pieces) -> DataFrame:
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
-            if rows + b.num_rows > EDGES and (begins := np.flatnonzero(b.column("k").to_numpy() == 1)).size:
+            if rows + b.num_rows > at_once and (begins := np.flatnonzero(b.column("k").to_numpy() == 1)).size:
                 yield folded(pa.Table.from_batches([*held, b.slice(0, int(begins[-1]))]))
                 b = b.slice(int(begins[-1]))
                 held, rows = [], 0
