@@ -194,3 +194,13 @@ def test_few_files_hold_the_links(spark, tmp_path):
     df = spark.range(0, 1000, 1, 100).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     assert len(gathered(df, "links").inputFiles()) <= spark.sparkContext.defaultParallelism
     assert gathered(df, "links").count() == 1000
+
+
+def test_few_links_join_as_many_do(spark):
+    from wayfold.llm.components import connected_components
+
+    r = random.Random(4)
+    links = [(r.randrange(-150, 150), r.randrange(-150, 150)) for _ in range(160)] + [(7, 7)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    assert sorted(connected_components(df, few=1000).collect()) == sorted(connected_components(df).collect())
+    assert connected_components(df.limit(0), few=1000).count() == 0

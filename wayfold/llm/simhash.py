@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, cap: int =
 
 #: Ids to drop, and shared shingles, up to these numbers are broadcast; beyond them the join shuffles.
 BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
+#: Links up to this number are joined in one task; beyond it by rounds over all tasks.
+FEW_LINKS = 500_000
 #: Texts that tell which shingles are common, and the number of them from which a shingle is.
 SAMPLE, COMMON = 4000, 8
 #: Texts with their shingles compared within one task's group, and rounds in which a text goes to one key only.
@@ -447,7 +449,7 @@ def simhash_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     fingerprints are near: within a class no link is missed, and none is taken unseen.
     """
     prints = gathered(nodes.select("fp").distinct(), "prints")
-    classes = connected_components(near_links(prints, radius), gathered).withColumnRenamed("node", "fp")
+    classes = connected_components(near_links(prints, radius), gathered, FEW_LINKS).withColumnRenamed("node", "fp")
     keyed = nodes.select("node", "fp").distinct().join(classes, "fp", "left").select("node", F.coalesce("root", "fp").alias("key"))
     several = keyed.groupBy("key").count().where("count > 1").select("key")
     rows = gathered(keyed.join(several, "key").select("key", "node", F.col("node").alias("comp")), "classes")
@@ -462,7 +464,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     make pairs, each compared once. Of the other keys each node at first goes to one only, that with
     most nodes; keys whose nodes are joined by then are settled. All the rest are compared at last.
     """
-    joined = gathered(connected_components(simhash_links(nodes, sets_of, similarity, cap, radius), gathered), "joined")
+    joined = gathered(connected_components(simhash_links(nodes, sets_of, similarity, cap, radius), gathered, FEW_LINKS), "joined")
     keys = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
     shared = gathered(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
     # few of all keys as a rule: then the others leave before they are shuffled
@@ -481,7 +483,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         if total:
             some = dense if last else dense.groupBy("node").agg(F.max(F.struct("n", "key", "comp")).alias("x")).select("x.key", "node", "x.comp")
             links = links.unionByName(verified_links(some.select("key", "node", "comp"), sets, similarity, cap))
-        roots = gathered(connected_components(links, gathered), "roots")
+        roots = gathered(connected_components(links, gathered, FEW_LINKS), "roots")
         if last:
             break
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
