@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +23,8 @@ SPACE = "▁"
 BROADCAST_BYTES = 120_000_000
 #: Bytes of a unit in that table besides those of its ids, and of each id.
 UNIT_BYTES, ID_BYTES = 16, 4
-#: Units that a task counts before it passes them on, and bytes of text that it cuts at once.
-COUNTED, AT_ONCE = 400_000, 1_000_000
+#: Units whose counts a task holds before it passes the rarer ones on, and bytes of text that it cuts at once, each of which takes some 35 bytes of memory.
+COUNTED, AT_ONCE = 100_000, 400_000
 #: Units whose lattices one task makes, and places of a unit that are looked at through one window.
 PART_UNITS, STARTS = 20_000, 32
 #: Edges in an Arrow batch, and those that are folded at once, of whole units.
@@ -170,8 +169,12 @@ def pieces_of(path: str, unigram: bool | None = None) -> Pieces:
     return Pieces.load(path, unigram)
 
 
-def count_units(texts: DataFrame, cut: Cut) -> DataFrame:
-    """(unit, n): how often each unit occurs in all texts; counted in each task before the shuffle."""
+def count_units(texts: DataFrame, cut: Cut, counted: int = COUNTED) -> DataFrame:
+    """(unit, n): how often each unit occurs in all texts; counted in each task before the shuffle.
+
+    A task holds the counts of at most twice `counted` units and those of one cut; beyond that it
+    passes the rarer ones on, whose counts are summed up after the shuffle.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -179,26 +182,31 @@ def count_units(texts: DataFrame, cut: Cut) -> DataFrame:
 
         def total() -> pa.Table:
             t = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")])
+            held.clear()
             return t.select(["unit", "n_sum"]).rename_columns(["unit", "n"])
 
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            for b in t.cast(pa.schema([("unit", pa.string()), ("n", pa.int64())])).to_batches(20_000):
-                yield b
+            for b in t.to_batches(20_000):
+                yield b.cast(pa.schema([("unit", pa.string()), ("n", pa.int64())]))
 
         for b in batches:
             for some in slices(b.column(0)):
                 found = cut.units(some)[0].value_counts()
                 held.append(pa.Table.from_arrays([found.field(0), found.field(1)], names=["unit", "n"]))
                 rows += len(found)
-                if rows > 2 * COUNTED:
-                    held[:] = [total()]
-                    rows = held[0].num_rows
-                    if rows > COUNTED:
-                        yield from out(held.pop())
-                        rows = 0
+                if rows > 2 * counted:
+                    t = total()
+                    if t.num_rows > counted:
+                        # the more frequent ones stay, for they will be met again
+                        order = pc.array_sort_indices(t.column("n"), order="descending")
+                        yield from out(t.take(order[counted // 2 :]))
+                        t = t.take(order[: counted // 2])
+                    held.append(t)
+                    rows = t.num_rows
+                    del t
+                    tidy()
         if held:
             yield from out(total())
-        held.clear()
         tidy()
 
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -318,8 +326,13 @@ class Fold:
 
 
 def piece_table(units: DataFrame, p: Pieces) -> DataFrame:
-    """(piece, x): the numbers of the pieces of two or more characters that can be edges."""
-    return units.sparkSession.createDataFrame([(s, number) for s, number in p.rank.items() if len(s) > 1 and (p.unigram or s in p.spines)], "piece string, x int")
+    """(piece, x): the numbers of the pieces of two or more characters that can be edges.
+
+    From an Arrow table, which the JVM reads itself: rows in a list would start more Python workers
+    on the executors, under a daemon of their own that stays.
+    """
+    found = {s: number for s, number in p.rank.items() if len(s) > 1 and (p.unigram or s in p.spines)}
+    return units.sparkSession.createDataFrame(pa.table({"piece": pa.array(list(found), pa.string()), "x": pa.array(list(found.values()), pa.int32())}))
 
 
 def lattice(units: DataFrame, p: Pieces, at_once: int = EDGES) -> DataFrame:
@@ -431,7 +444,11 @@ def _runs(values: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class UnitIds:
-    """Ids of texts, from the broadcast table of the units' ids."""
+    """Ids of texts, from the broadcast table of the units' ids.
+
+    Made anew in each task from the worker's one copy of the table, so that nothing but Spark keeps
+    that copy: it goes with the worker's next task that has no use for it.
+    """
 
     def __init__(self, table: dict[str, np.ndarray], cut: Cut) -> None:
         self.h, self.g, self.at, self.flat = (table[k] for k in ("h", "g", "at", "flat"))
@@ -471,17 +488,6 @@ class UnitIds:
         return pa.ListArray.from_arrays(pa.array(ends[reach], pa.int32()), pa.array(_runs(flat, begins[n], size[n]).astype(np.int32)))
 
 
-_LOADED: dict[str, UnitIds] = {}
-
-
-def _load(key: str, table: Broadcast, cut: Cut) -> UnitIds:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = UnitIds(table.value, cut)
-        tidy()
-    return _LOADED[key]
-
-
 def least_count(table: DataFrame, limit: int) -> int:
     """Units that occur so often have a place in the broadcast table: the most frequent ones, as far as `limit` bytes reach."""
     cost = F.sum(F.lit(UNIT_BYTES) + ID_BYTES * F.size("ids"))
@@ -513,14 +519,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
     least = least_count(table, limit)
     sent = spark.sparkContext.broadcast(_packed(table.where(F.col("n") >= least)))
     tidy()
-    key = f"{table._wayfold_path}#{least}"
     rare_col, text_at, h = free_name(docs, "rare_units"), free_name(docs, "piece_text"), free_name(docs, "text_hash")
     ready = docs.withColumn(text_at, text)
     if least:
         hashed = docs.where(text.isNotNull()).select(F.unhex(F.sha2(text, 256)).alias("h"), text.alias("text"))
 
         def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _load(key, sent, cut)
+            known = UnitIds(sent.value, cut)
             for b in batches:
                 rows: tuple[list, list] = ([], [])
                 for hash_, t in zip(b.column("h").to_pylist(), b.column("text"), strict=True):
@@ -536,7 +541,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "piec
         ready = ready.join(by_text, F.unhex(F.sha2(text_at, 256)) == F.col(h), "left").drop(h)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _load(key, sent, cut)
+        known = UnitIds(sent.value, cut)
         for b in batches:
             rare = {x["unit"].encode(): x["ids"] for more in b.column(rare_col).to_pylist() for x in more or ()} if least else {}
             kept = [c for k, c in zip(b.schema.names, b.columns, strict=True) if k in columns]
